@@ -1,10 +1,12 @@
 """Named queries of the subpackage (pN_...)."""
 
-from lexmill.llm import splits
+from lexmill.llm import neardup, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_assign": splits.p1_assign,
     "p1_shares": splits.p1_shares,
+    "p4_found": neardup.p4_found,
+    "p4_groups": neardup.p4_groups,
 }
 ORACLE: dict = {}
