@@ -9,9 +9,9 @@ import pyarrow as pa
 
 from lexmill.llm import words
 
-STORE = "rec_id long, loaded_at timestamp, role byte, kind byte, tid long, n int, ids array<int>"
+
 POSITIVE, NEGATIVE = 0, 1
-ROLES = {"train": 0, "valid": 1, "test": 2}
+
 
 
 def as_lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -33,12 +33,12 @@ def store_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         flat, offsets = words.encode_batch(batch.column(2).to_pylist(), ids)
         keys, counts = words.text_keys(flat, offsets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys), pa.array(counts.astype(np.int32)), _once(flat, offsets, keys, seen)],
+            [batch.column(0), batch.column(1), pa.array(keys), pa.array(counts.astype(np.int32)), once(flat, offsets, keys, seen)],
             names=["rec_id", "loaded_at", "tid", "n", "ids"],
         )
 
 
-def _once(flat: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seen: set) -> pa.Array:
+def once(flat: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seen: set) -> pa.Array:
     if len(seen) > 1_000_000:
         seen.clear()
     fresh = np.zeros(len(keys), dtype=bool)

@@ -173,32 +173,34 @@ def overlap_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def banded(a: np.ndarray, b: np.ndarray, k: int) -> int:
-    """Edit distance of two id sequences if at most k, else k + 1 (banded dynamic program)."""
+    """Edit distance of two id sequences if at most k, else k + 1.
+
+    Dynamic program over the 2k + 1 diagonals next to the main one: for each number of
+    edits, the furthest row that each diagonal reaches."""
     n, m = len(a), len(b)
     if abs(n - m) > k:
         return k + 1
-    width = 2 * k + 1
-    off = np.arange(width)
-    far = k + 1
-    row = np.where(off >= k, off - k, far).astype(np.int32)  # row 0: column j = off - k
-    padded = np.full(m + 2 * width + 2, -1, dtype=np.int64)
-    padded[width : width + m] = b
-    for i in range(1, n + 1):
-        cols = i + off - k  # 1-based columns of this row
-        sub = row + (padded[width + i - k - 1 : width + i - k - 1 + width] != a[i - 1])
-        up = np.concatenate((row[1:], [far])) + 1
-        new = np.minimum(sub, up)
-        new[cols < 0] = far
-        new[cols > m] = far
-        if 0 <= k - i < width:
-            new[k - i] = i
-        new = np.minimum.accumulate(new - off) + off  # steps along the row
-        new[cols < 0] = far
-        new[cols > m] = far
-        row = np.minimum(new, far)
-        if row.min() > k:
-            return k + 1
-    return int(min(row[m - n + k], k + 1))
+    x, y = a.tolist(), b.tolist()
+    reach = {}
+    for e in range(k + 1):
+        new = {}
+        for d in range(max(-e, -n), min(e, m) + 1):  # column - row
+            if e == 0:
+                i = 0
+            else:
+                i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+                i = min(i, n, m - d)
+            if i < 0:
+                continue
+            j = i + d
+            while i < n and j < m and x[i] == y[j]:
+                i += 1
+                j += 1
+            if i == n and j == m:
+                return e
+            new[d] = i
+        reach = new
+    return k + 1
 
 
 def sentences_of(a: np.ndarray) -> list[np.ndarray]:
@@ -221,12 +223,13 @@ def in_order_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near(a: np.ndarray, b: np.ndarray, one_in: int = 8) -> bool:
     """At most about one word in `one_in` changed, added or dropped, sentence order apart.
 
-    The bound of a pair is ceil(longer / one_in) words.  Texts without words are near nothing."""
+    The bound of a pair is ceil(longer / one_in) words, none for texts of fewer than `one_in`
+    words.  Texts without words are near nothing."""
     wa, wb = a[a != 0], b[b != 0]
     longer = max(len(wa), len(wb))
     if not min(len(wa), len(wb)):
         return False
-    k = -(-longer // one_in)
+    k = -(-longer // one_in) if longer >= one_in else 0
     if abs(len(wa) - len(wb)) > k or overlap_distance(wa, wb) > k:
         return False
     if banded(wa, wb, k) <= k:
