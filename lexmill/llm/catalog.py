@@ -1,6 +1,6 @@
 """Named queries of the subpackage (pN_...)."""
 
-from lexmill.llm import neardup, overlap, splits
+from lexmill.llm import bins, mixing, neardup, overlap, pieces, sampling, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -10,5 +10,15 @@ QUERIES = {
     "p3_counts": overlap.p3_counts,
     "p4_found": neardup.p4_found,
     "p4_groups": neardup.p4_groups,
+    "p5_found": sampling.p5_found,
+    "p5_sample": sampling.p5_sample,
+    "p5_report": sampling.p5_report,
+    "p7_bins": bins.p7_bins,
+    "p7_fill": bins.p7_fill,
+    "p8_found": mixing.p8_found,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
+    "p9_found": pieces.p9_found,
+    "p9_pieces": pieces.p9_pieces,
 }
 ORACLE: dict = {}
