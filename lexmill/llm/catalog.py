@@ -1,11 +1,13 @@
 """Named queries of the subpackage (pN_...)."""
 
-from lexmill.llm import bins, mixing, neardup, overlap, pieces, sampling, splits
+from lexmill.llm import bins, leaks, mixing, neardup, overlap, pieces, sampling, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_assign": splits.p1_assign,
     "p1_shares": splits.p1_shares,
+    "p2_found": leaks.p2_found,
+    "p2_report": leaks.p2_report,
     "p3_found": overlap.p3_found,
     "p3_counts": overlap.p3_counts,
     "p4_found": neardup.p4_found,

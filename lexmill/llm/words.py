@@ -35,6 +35,24 @@ _TABLE_STOPS = str.maketrans(_ASCII | {ord(c): "." for c in ".!?"})
 _INNER = set("\u2019\u2018\u00ad\u2010\u2011\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
 
 
+class _Folding(dict):
+    """str.translate table for all of Unicode, filled as characters turn up."""
+
+    def __missing__(self, point: int):
+        ch = chr(point)
+        if _SPACELESS.match(ch):
+            to = f" {ch} "
+        elif ch.isalnum() or ch.isspace() or point in (1, 2) or unicodedata.category(ch)[0] == "M":
+            to = ch
+        else:
+            to = None if ch in _INNER or ch in ",-'*_`~#^" else " "
+        self[point] = to
+        return to
+
+
+_FOLD = _Folding()
+
+
 def split(text: str) -> list[str]:
     """Words of `text`, with "\\x01" where a sentence ends. Empty text: no words."""
     text = text.replace("\x02", " ")
@@ -42,17 +60,7 @@ def split(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", text)
         if not text.isascii():
             text = _HYPHEN.sub("", text)
-            text = _WIDE_STOP.sub(r"\1 ", text)
-            text = _STOP.sub(" \x01 ", text)
-            out = []
-            for ch in text.casefold():
-                if ch.isalnum() or ch.isspace() or ch == "\x01" or unicodedata.category(ch)[0] == "M":
-                    out.append(ch)
-                elif ch in _INNER or ch in ",-'*_`~#^":
-                    continue
-                else:
-                    out.append(" ")
-            text = _SPACELESS.sub(r" \1 ", "".join(out))
+            text = _STOP.sub(" \x01 ", _WIDE_STOP.sub(r"\1 ", text)).casefold().translate(_FOLD)
             return text.split()
     if "-\n" in text or "-\r" in text or "- \n" in text:
         text = _HYPHEN.sub("", text)
