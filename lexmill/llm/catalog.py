@@ -1,6 +1,6 @@
 """Named queries of the subpackage (pN_...)."""
 
-from lexmill.llm import bins, leaks, mixing, neardup, overlap, pieces, sampling, splits
+from lexmill.llm import bins, leaks, mixing, neardup, overlap, pieces, sampling, sentences, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": sampling.p5_found,
     "p5_sample": sampling.p5_sample,
     "p5_report": sampling.p5_report,
+    "p6_found": sentences.p6_found,
+    "p6_counts": sentences.p6_counts,
     "p7_bins": bins.p7_bins,
     "p7_fill": bins.p7_fill,
     "p8_found": mixing.p8_found,
