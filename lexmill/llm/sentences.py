@@ -35,6 +35,8 @@ _EMPTY_LINE = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*| \s*")
 _RUN = re.compile(f"[{MARKS}]+(?:\\s?\\.(?=\\s?\\.))*")
 _ITEM = re.compile(r"^[\s\"“«(\[]*(?:(?:\d{1,3}|[A-Za-z]|[ivxlIVXL]{1,5})(?:\.\d{1,3})*[.)]?|[(\[](?:\d{1,3}|[A-Za-z]|[ivxl]{1,5})[)\]]|(?:§|Art|ART|Section|SECTION|Article|ARTICLE|Artikel|Artículo|Abschnitt|Clause)\.?\s*[\dIVXL]+(?:\.\d+)*)\.$")
 _LAST_WORD = re.compile(r"[^\s(\[{“„«\"'’]+$")
+# A company form that takes no stop may close a sentence; a capital or item number goes on.
+_UNSTOPPED = re.compile(r"(?<= )plc(?=\s+(?:[\"“(]?[A-Z][\w'-]*\s|\d{1,3}\.\d{1,3}\s+[A-Z]))")
 _THAI = re.compile("[฀-๿]")
 _DEVANAGARI = re.compile("[ऀ-ॿ]")
 _HAN = re.compile("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0002ffff]")
@@ -52,11 +54,10 @@ MAYBE = set("inc co corp ltd llc llp plc gmbh ag kg s.a sa s.l s.r.l n.v b.v l.l
 GOES_ON = {"co": {"kg", "kgaa", "ltd", "inc", "llc", "ohg"}}
 NAMED = {"exhibit", "schedule", "annex", "appendix", "section", "part", "class", "series", "anlage", "anhang", "annexe", "anexo", "article", "clause", "tranche", "unit", "phase", "table", "figure", "option", "lot", "building"}
 MONTHS = set(
-    """januar februar märz april mai juni juli august september oktober november dezember jänner
-    january february march may june july october december""".split()
+    "januar februar märz april mai juni juli august september oktober november dezember jänner".split()
 )
 # Words (or their first letters) that carry a sentence on after a closing quote.
-PARTICLES = ("と", "は", "が", "を", "に", "の", "も", "で", "や", "へ", "から", "まで", "という", "との", "など", "字样", "字樣", "的", "等", "之", "及", "和", "与", "或", "一词", "一语", "为", "是", "在")
+PARTICLES = ("と", "は", "が", "を", "に", "の", "も", "で", "や", "へ", "から", "まで", "という", "との", "など", "字样", "字樣", "的", "等", "之", "及", "和", "与", "或", "一词", "一语")
 
 # Thai: words of the lattice. Openers start a statement, links never end one.
 TH_OPEN = "บริษัท อัตรา อัตราดอกเบี้ย จำนวน จำนวนเงิน คู่สัญญา ผู้ซื้อ ผู้ขาย ผู้เช่า ผู้ให้เช่า ผู้รับจ้าง ผู้ว่าจ้าง ผู้จัดหา ผู้ค้ำประกัน ผู้รับอนุญาต ผู้อนุญาต ผู้กู้ ผู้ให้กู้ ผู้รับฝาก ผู้ฝาก ผู้โอน ผู้รับโอน ผู้รับประกัน ผู้เอาประกัน ผู้ถือหุ้น ผู้รับเหมา ผู้ใด ผู้แทน ผู้จำหน่าย ผู้รับมอบ ลูกหนี้ เจ้าหนี้ นายจ้าง ลูกจ้าง ใคร หาก ถ้า เมื่อ ในกรณี นอกจากนี้ ทั้งนี้ อย่างไรก็ตาม ดังนั้น ฝ่ายใด ทั้งสองฝ่าย สัญญานี้ ข้อตกลงนี้ การ ห้าม นาย นาง นางสาว ดร คำว่า ค่าธรรมเนียม ดอกเบี้ย เอกสาร โปรด กรุณา".split()
@@ -124,8 +125,6 @@ def _thai_ends(text: str, depth: np.ndarray) -> list[int]:
             if before in ("บริษัท", "นาย", "นาง", "นางสาว", "ดร"):
                 continue
             ends.append(e0)
-        elif spaced and not _THAI.match(after[0]) and before in TH_FINAL and after[0].isupper() and len(after) > 1 and False:
-            ends.append(e0)
     return ends
 
 
@@ -220,19 +219,22 @@ def _stops(text: str, start: int, at: int, end: int, after: int) -> bool:
         return False
     if _DEVANAGARI.search(word):
         return len(plain) > 3 and plain not in NEVER
+    if word.endswith(")"):  # "Section 6.10(b)."
+        return True
     if plain in MAYBE:
-        return not first[0].isdigit() and not (first[0] in "$€£")
+        if first[0].isdigit():  # an item number with a capital behind it opens a sentence
+            return re.match(r"\d{1,3}(?:\.\d{1,3})*[.)]?\s+[^\W\d_]", rest) is not None and rest[len(first) :].lstrip()[:1].isupper()
+        return first[0] not in "$€£"
+    earlier = before[: len(before) - len(word)].split()
+    if len(plain) == 1 and word[:1].isupper() and earlier and earlier[-1].strip(".,(").lower() in NAMED:
+        return not first[0].isdigit() or "." in first
     if plain in NEVER:
         return False
-    if re.fullmatch(r"(?:\w\.)+\w", plain):  # letters with stops between, as in "z.B"
+    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", plain):  # letters with stops between, as in "z.B"
         return not first[0].isdigit()
-    if len(plain) == 1 and plain.isalpha() and word[:1].isupper():
-        earlier = before[: len(before) - len(word)].split()
-        return bool(earlier) and (earlier[-1].strip(".,(").lower() in NAMED) and not first[0].isdigit()
     if len(plain) == 1 and plain.isalpha() and plain.isascii() and first[0].isascii():
-        # the second half of "z. B." or "p. a."; else a lower-case letter is no sentence's end
-        return False
-    if plain.isdigit() and lower in MONTHS:
+        return False  # an initial, or the second half of "z. B." or "p. a."
+    if plain.isdigit() and len(plain) < 3 and lower in MONTHS:
         return False
     return True
 
@@ -286,8 +288,8 @@ def _paragraph(text: str) -> list[int]:
             if _stops(text, start, at, end, after):
                 ends.append(after)
                 start = after
-    ends = sorted(set(ends) | {len(text)})
-    return ends
+    ends += [m.end() for m in _UNSTOPPED.finditer(text) if not depth[m.start()]]
+    return sorted(set(ends) | {len(text)})
 
 
 def _opened(text: str, depth: np.ndarray, at: int, start: int) -> int:
