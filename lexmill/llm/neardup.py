@@ -29,7 +29,7 @@ from lexmill.tables import read
 
 COUNTERS = 1 << 18
 BANDS, ROWS = 20, 5
-RADIUS = 26
+RADIUS = 22  # of 64 bits; near texts differ in about 10 (sd 4)
 SHARD_LIMIT = 2_000  # texts in one BK-tree; larger shards are split into blocks
 ONE_IN = 8
 
@@ -111,7 +111,7 @@ def weights(store: DataFrame) -> np.ndarray:
 
 
 def signer(weight):
-    """Function for mapInArrow: (tid, ids) -> (tid, sim, keys)."""
+    """Function for mapInArrow: (tid, ids) -> (tid, sim, n, keys). No ids are empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = BANDS * ROWS
@@ -142,41 +142,48 @@ def signer(weight):
                 [
                     batch.column(0).take(pa.array(text[starts])),
                     pa.array(sim.view(np.int64)),
+                    pa.array(np.add.reduceat((flat != 0).astype(np.int32), offsets[:-1])[text[starts]].astype(np.int32)),
                     texts.as_lists(keys.ravel(), np.arange(len(starts) + 1) * BANDS),
                 ],
-                names=["tid", "sim", "keys"],
+                names=["tid", "sim", "n", "keys"],
             )
 
     return sign
 
 
+def alike(n, m):
+    """Whether texts of n and m words can be near: their lengths differ by no more than the edits."""
+    return np.abs(n - m) <= -(-np.maximum(n, m) // ONE_IN) if isinstance(n, np.ndarray) else abs(n - m) <= -(-max(n, m) // ONE_IN)
+
+
 def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, side, tid, sim) -> candidate pairs a < b. side: 0 both indexed and asked,
+    """(shard, side, tid, sim, n) -> candidate pairs a < b. side: 0 both indexed and asked,
     1 indexed only, 2 asked only (blocks of a split shard)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     table = pa.Table.from_batches(got)
-    shard, tid, sim = (table.column(c).to_numpy() for c in ("shard", "tid", "sim"))
+    shard, tid, sim, n = (table.column(c).to_numpy() for c in ("shard", "tid", "sim", "n"))
     side = table.column("side").to_numpy()
     order = np.lexsort((tid, side, shard))
-    shard, side, tid, sim = shard[order], side[order], tid[order], sim[order]
+    shard, side, tid, sim, n = shard[order], side[order], tid[order], sim[order], n[order]
     if len(shard):
         fresh = np.concatenate(([True], (shard[1:] != shard[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])))
-        shard, side, tid, sim = shard[fresh], side[fresh], tid[fresh], sim[fresh]
+        shard, side, tid, sim, n = shard[fresh], side[fresh], tid[fresh], sim[fresh], n[fresh]
     starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((starts, [len(shard)])))
     two = starts[sizes == 2]  # the tree of a shard of two is one node
-    close = two[distance(sim[two], sim[two + 1]) <= RADIUS]
+    close = two[(distance(sim[two], sim[two + 1]) <= RADIUS) & alike(n[two], n[two + 1])]
     out = {(min(a, b), max(a, b)) for a, b in zip(tid[close].tolist(), tid[close + 1].tolist()) if a != b}
     for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         tree = BKTree()
-        rows = zip(side[start : start + size].tolist(), tid[start : start + size].tolist(), sim.view(np.uint64)[start : start + size].tolist())
-        for s, t, x in rows:
+        part = slice(start, start + size)
+        rows = zip(side[part].tolist(), tid[part].tolist(), sim.view(np.uint64)[part].tolist(), n[part].tolist())
+        for s, t, x, long in rows:
             if s != 1:
-                out.update((min(t, u), max(t, u)) for u in tree.near(x, RADIUS) if u != t)
+                out.update((min(t, u), max(t, u)) for u, m in tree.near(x, RADIUS) if u != t and alike(long, m))
             if s != 2:
-                tree.add(x, t)
+                tree.add(x, (t, long))
         if len(out) > 500_000:
             yield _pairs(out)
             out = set()
@@ -204,7 +211,7 @@ def candidates(signs: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     none is capped."""
     spark = signs.sparkSession
     rows = signs.count()
-    shards = signs.select("tid", "sim", F.explode("keys").alias("shard"))
+    shards = signs.select("tid", "sim", "n", F.explode("keys").alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > limit)
     sizes = cut(sizes, "p4-large")
     placed = shards.withColumn("side", F.lit(0))
@@ -214,14 +221,14 @@ def candidates(signs: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
         blocks = F.coalesce("blocks", F.lit(1))
         own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
         others = F.sequence(F.lit(0), blocks - 1)
-        placed = placed.select("tid", "sim", "shard", own.alias("own"), F.explode(others).alias("other"))
+        placed = placed.select("tid", "sim", "n", "shard", own.alias("own"), F.explode(others).alias("other"))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         alone = F.when(F.col("own") == F.col("other"), F.col("own")).otherwise(low)
         shard = F.when((low == 0) & (high == 0), F.col("shard")).otherwise(F.xxhash64("shard", alone, high))
-        placed = placed.select("tid", "sim", shard.alias("shard"), side.alias("side"))
+        placed = placed.select("tid", "sim", "n", shard.alias("shard"), side.alias("side"))
     tasks = partitions(spark, rows * BANDS, 1_000_000)
-    placed = placed.select("shard", F.col("side").cast("byte").alias("side"), "tid", "sim").repartition(tasks, "shard")
+    placed = placed.select("shard", F.col("side").cast("byte").alias("side"), "tid", "sim", "n").repartition(tasks, "shard")
     return placed.mapInArrow(search_shards, "a long, b long").distinct()
 
 
@@ -244,7 +251,7 @@ def text_groups(store: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     """(tid, root) for every text that is near another one."""
     weight = store.sparkSession.sparkContext.broadcast(weights(store))
     texts_once = store.where("ids is not null").select("tid", "ids")
-    signs = cut(texts_once.mapInArrow(signer(weight), "tid long, sim long, keys array<long>"), "p4-signs")
+    signs = cut(texts_once.mapInArrow(signer(weight), "tid long, sim long, n int, keys array<long>"), "p4-signs")
     pairs = cut(candidates(signs, limit), "p4-pairs")
     return components(links(store, pairs), name="p4").select(F.col("node").alias("tid"), "root")
 
