@@ -1,4 +1,5 @@
 """Named queries of the core and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lexmill.plans import registry, text  # noqa: F401
+
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
