@@ -29,7 +29,7 @@ from lexmill.tables import read
 
 COUNTERS = 1 << 18
 BANDS, ROWS = 20, 5
-RADIUS = 22  # of 64 bits; near texts differ in about 10 (sd 4)
+RADIUS = 26  # of 64 bits; near texts differ in about 10 (sd 4)
 SHARD_LIMIT = 2_000  # texts in one BK-tree; larger shards are split into blocks
 ONE_IN = 8
 
@@ -232,19 +232,29 @@ def candidates(signs: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     return placed.mapInArrow(search_shards, "a long, b long").distinct()
 
 
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, lengths, histograms) -> the pairs that their histograms do not rule out."""
+    for batch in batches:
+        na, nb, *h = (batch.column(i).to_numpy() for i in range(2, 8))
+        far = words.histogram_distance(np.stack(h[:2], axis=1), np.stack(h[2:], axis=1))
+        keep = pa.array(far <= 2 * -(-np.maximum(na, nb) // ONE_IN))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def links(store: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of different texts that are near each other, from candidate pairs."""
-    asked = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
-    known = store.where("ids is not null").select("tid", "ids").join(asked, "tid", "left_semi").dropDuplicates(["tid"])
-    known = cut(known, "near-texts")
-    spark = store.sparkSession
-    n = pairs.count()
-    if not n:
-        return pairs.select("a", "b")
-    full = pairs.join(known.select(F.col("tid").alias("a"), F.col("ids").alias("ids_a")), "a")
+    """Pairs of different texts that are near each other, from candidate pairs.
+
+    Histograms (16 bytes a text) rule out most pairs before any words are moved."""
+    one = store.where("ids is not null")
+    flat = one.select("tid", "n", "h0", "h1").join(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    side = lambda x: flat.select(*[F.col(c).alias(x if c == "tid" else c + x) for c in flat.columns])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "h0a", "h1a", "h0b", "h1b")
+    met = cut(met.mapInArrow(plausible, "a long, b long"), "near-pairs")
+    asked = met.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    known = cut(one.select("tid", "ids").join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "near-texts")
+    full = met.join(known.select(F.col("tid").alias("a"), F.col("ids").alias("ids_a")), "a")
     full = full.join(known.select(F.col("tid").alias("b"), F.col("ids").alias("ids_b")), "b")
-    full = full.select("a", "b", "ids_a", "ids_b").repartition(partitions(spark, n, 20_000))
-    return full.mapInPandas(verify, "a long, b long")
+    return full.select("a", "b", "ids_a", "ids_b").mapInPandas(verify, "a long, b long")
 
 
 def text_groups(store: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
@@ -265,7 +275,7 @@ def group_records(records: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     are in no group and give no row; a text like no other makes a group of one.  An empty
     table gives no rows; further columns are ignored."""
     source = records.where("rec_id is not null and text is not null").select("rec_id", "loaded_at", "text")
-    store = cut(source.mapInArrow(texts.store_positives, "rec_id long, loaded_at timestamp_ntz, tid long, n int, ids array<int>"), "p4-store")
+    store = cut(source.mapInArrow(texts.store_positives, texts.POSITIVES), "p4-store")
     roots = text_groups(store.where("n > 0"), limit)
     member = store.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "tid", "n")).alias("p")).where("p.n > 0").select("rec_id", "p.tid")
     named = member.join(roots, "tid", "left").select("rec_id", "tid", F.coalesce("root", "tid").alias("grp"))

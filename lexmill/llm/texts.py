@@ -10,6 +10,7 @@ import pyarrow as pa
 from lexmill.llm import words
 
 
+POSITIVES = "rec_id long, loaded_at timestamp_ntz, tid long, n int, h0 long, h1 long, ids array<int>"
 POSITIVE, NEGATIVE = 0, 1
 
 
@@ -26,15 +27,16 @@ def unnest(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def store_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec_id, loaded_at, text) -> (rec_id, loaded_at, tid, n, ids); ids is null for a text
+    """(rec_id, loaded_at, text) -> POSITIVES; ids is null for a text
     that this task has stored already."""
     ids, seen = words.new_ids(), set()
     for batch in batches:
         flat, offsets = words.encode_batch(batch.column(2).to_pylist(), ids)
         keys, counts = words.text_keys(flat, offsets)
+        h = words.histograms(flat, offsets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys), pa.array(counts.astype(np.int32)), once(flat, offsets, keys, seen)],
-            names=["rec_id", "loaded_at", "tid", "n", "ids"],
+            [batch.column(0), batch.column(1), pa.array(keys), pa.array(counts.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), once(flat, offsets, keys, seen)],
+            names=["rec_id", "loaded_at", "tid", "n", "h0", "h1", "ids"],
         )
 
 
