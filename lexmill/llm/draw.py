@@ -13,14 +13,14 @@ def lot(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in columns])
 
 
-def running(df: DataFrame, groups: list[str], draw: str, ties: list[str], weight: str | Column = F.lit(1)) -> DataFrame:
+def running(df: DataFrame, groups: list[str], draw: str, ties: list[str], weight: str | Column | None = None) -> DataFrame:
     """`df` plus `_upto`: the weight of all rows up to and with this one, in the order of
     `draw` then `ties`, within each group.
 
     The rows are cut into buckets of the draw; bucket totals (at most BUCKETS a group) are
     summed in order and only rows of one bucket are ever sorted together, so a group that
     holds a third of all rows is spread over BUCKETS tasks."""
-    weight = F.col(weight) if isinstance(weight, str) else weight
+    weight = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
     df = df.withColumn("_w", weight).withColumn("_b", F.shiftrightunsigned(F.col(draw), 52))
     totals = df.groupBy(*groups, "_b").agg(F.sum("_w").alias("_t"))
     before = F.sum("_t").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))

@@ -45,15 +45,16 @@ def valleys(text: str, gaps: list[int]) -> np.ndarray:
     right = total[np.minimum(g + BLOCK, len(rows))] - total[g]
     norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
     like = np.divide((left * right).sum(1), norm, out=np.zeros(len(g)), where=norm > 0)
-    depth = np.zeros(len(g))
-    for i in range(len(g)):
-        a = b = i
-        while a > 0 and like[a - 1] >= like[a]:
-            a -= 1
-        while b < len(g) - 1 and like[b + 1] >= like[b]:
-            b += 1
-        depth[i] = like[a] + like[b] - 2 * like[i]
-    return depth
+    return _climb(like) + _climb(like[::-1])[::-1] - 2 * like
+
+
+def _climb(like: np.ndarray) -> np.ndarray:
+    """The height reached from each place by going left for as long as it does not fall."""
+    out = like.copy()
+    for i in range(1, len(like)):
+        if like[i - 1] >= like[i]:
+            out[i] = out[i - 1]
+    return out
 
 
 def cut_text(enc, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
