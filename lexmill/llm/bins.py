@@ -115,10 +115,10 @@ def packer(capacity: int, effort: int, label: str):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        pdf = pd.concat([b for b in batches], ignore_index=True)
-        if not len(pdf):
+        got = [b for b in batches if len(b)]
+        if not got:
             return
-        pdf = pdf.sort_values(["doc_id", "piece"], ignore_index=True)
+        pdf = pd.concat(got, ignore_index=True).sort_values(["doc_id", "piece"], ignore_index=True)
         sizes = pdf["tokens"].tolist()
         bins = improve(place(sizes, capacity), sizes, capacity, effort)
         part = TaskContext.get().partitionId()
