@@ -1,6 +1,6 @@
 """Named queries of the subpackage (pN_...)."""
 
-from lexmill.llm import bins, leaks, mixing, neardup, overlap, pieces, sampling, sentences, splits
+from lexmill.llm import bins, leaks, mixing, neardup, oracle, overlap, pieces, sampling, sentences, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -25,4 +25,4 @@ QUERIES = {
     "p9_found": pieces.p9_found,
     "p9_pieces": pieces.p9_pieces,
 }
-ORACLE: dict = {}
+ORACLE = oracle.ORACLE
