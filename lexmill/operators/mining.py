@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.words import keyword_set, overlap
+from lexmill.session import cut
 
 SEED = 42
 
@@ -94,6 +95,7 @@ def hard_negatives(scored: DataFrame, queries: DataFrame, docs: DataFrame, posit
     kept = free.join(queries.select("query_id", keywords(F.col("text")).alias("_k")), "query_id").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
     kept = kept.where(overlap(F.col("_k"), F.col("_t")) <= max_overlap).select("query_id", "doc_id", "rk")
     first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rk"))).where(F.col("_n") <= n).select("query_id", "doc_id", "rk")
+    first = cut(first, "negatives")  # n rows a query; used three times below
     short = queries.select("query_id").join(first.groupBy("query_id").agg(F.count("*").alias("_c")), "query_id", "left").select("query_id", (F.lit(n) - F.coalesce("_c", F.lit(0))).alias("_need")).where("_need > 0")
     pool = short.join(docs.select("doc_id"), F.lit(True)).join(positives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     drawn = pool.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(draw("query_id", "doc_id"), "doc_id"))).where("_n <= _need")
