@@ -284,6 +284,40 @@ def kd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(negs, "query_id").select("query_id", F.col("doc_id").alias("positive"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("document_ids"))
 
 
+_KD = f"""{_NEG}, rq as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from sc where not exists (select 1 from pos where pos.query_id = sc.query_id and pos.doc_id = sc.doc_id)),
+    top as (select query_id, list(doc_id order by rk) as negs from rq where rk <= 4 group by query_id),
+    cap as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by {_sha('doc_id')}, doc_id) as n from pos) where n <= 3),
+    kd as (select query_id, list_concat([cap.doc_id], negs) as ids from cap join top using (query_id))"""
+
+
+def _kd_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_rows(spark, sf_dir)
+    return rows.select("query_id", F.transform(F.split("document_ids", ","), lambda x: x.cast("long")).alias("ids"))
+
+
+@named(f"with {_KD}, x as (select query_id, ids[1] as positive, unnest(ids[2:3]) as negative from kd) select x.query_id, positive, negative, p.text as positive_text, n.text as negative_text from x join docs p on p.doc_id = positive join docs n on n.doc_id = negative")
+def contrastive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of ids to triplets: the first is the positive, the next two negatives; texts are
+    looked up in the documents table."""
+    x = _kd_arrays(spark, sf_dir).select("query_id", F.element_at("ids", 1).alias("positive"), F.explode(F.slice("ids", 2, 2)).alias("negative"))
+    d = documents(spark, sf_dir)
+    side = lambda n: d.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
+    return x.join(side("positive"), "positive").join(side("negative"), "negative").select("query_id", "positive", "negative", "positive_text", "negative_text")
+
+
+@named(
+    f"""with {_KD}, x as (select query_id, ids[1] as positive, unnest(ids) as doc_id, unnest(range(1, len(ids) + 1)) as place from kd)
+    select query_id, positive, array_to_string(list(coalesce(sc.score, 0.0) order by place), ',') as scores from x left join sc using (query_id, doc_id) group by query_id, positive"""
+)
+def ordered_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat scores of (query, document) pairs put back into arrays in the order of the ids."""
+    x = _kd_arrays(spark, sf_dir).select("query_id", F.element_at("ids", 1).alias("positive"), F.posexplode("ids").alias("place", "doc_id"))
+    scored = R.bm25(read(spark, sf_dir, "queries"), documents(spark, sf_dir))
+    flat = x.join(scored, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    back = flat.groupBy("query_id", "positive").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("l"))  # five a row
+    return back.select("query_id", "positive", F.array_join(F.transform("l", lambda p: p["score"].cast("string")), ",").alias("scores"))
+
+
 @named(
     f"""with {RECORDS}, t as (select rec_id, source, {_FOLD.format('positive')} as t, coalesce(positive_grade, 0) >= 3 as yes from recs where positive is not null and source is not null),
     once as (select * from (select *, row_number() over (partition by source, t order by rec_id) as r from t) where r = 1),
