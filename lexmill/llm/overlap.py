@@ -1,23 +1,23 @@
 """Same or near-same records across splits: an edit-distance segment join.
 
-Two texts are near when at most one word in eight is edited, sentence order apart.  Cut
-into more segments than it has edits, a text keeps one of them whole, and that segment lies
-in the other text's sentence at most as far from its place as there are edits.  Sentences
-are cut on their own, so that moved sentences keep their segments.  The join is on the hash
-of SEGMENT words:
-
-* segments of one side: at the start of a sentence, at its end, and every SEGMENT words
-  between when it is long enough;
-* substrings of the other side at the allowed positions only: from the start and from the
-  end of each sentence, shifted by at most the sentence's edits.
-
-A 64-bit fingerprint and the number of words travel with both sides, so that texts which
-merely share a phrase part in the join itself; what is left is verified with banded dynamic programming
-(`words.near`).  Equal texts meet by their key and need no verification.
-
-Which side gives segments: the evaluation text, except where it is an evaluation positive
-against training negatives; there the negative is cut, so that only positives (the smaller
-table) ever list substrings.  Pigeonhole holds either way.
+Two texts are near when at most one word in eight is edited, sentence order apart.  An edit
+breaks only the segments (runs of SEGMENT words) that hold the edited word.  Each text posts
+its rarest segments, as many as it takes for k + 1 edits to break them all, k being the most
+edits that a near text can lie away; so one of them stays whole in every near text.  There
+it is among the posted ones too, or one of the other text's posted ones is here: both sides
+take their segments in the same order (`_places`).  The join is on the segment's hash alone,
+wherever it stands.
+
+Segments run across sentence marks, so that a mark lost or gained hides none; but only those
+inside a sentence count towards the k + 1, as sentences move.  Texts of up to SHORT words,
+whose sentences may hold too few segments, post single words, and so do texts that can be near
+one of them.  A longer text with too few segments inside its sentences (most of them of one or
+two words) counts those across marks.
+
+Two parity sketches and the number of words travel with both sides: an edited word turns at
+most two bits, so the bound refuses pairs in the join itself without losing any.  What is
+left is verified with banded dynamic programming (`words.near`).  Equal texts meet by their
+key and need no verification.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ from lexmill.llm import neardup, texts, words
 from lexmill.session import cut
 from lexmill.tables import read
 
-SEGMENT = 8
-RADIUS = 22  # of the 64-bit fingerprint: texts within one word in eight differ in about 10 bits (sd 3)
+SEGMENT = 3
+SHORT = 24  # words; longer texts hold enough segments unless their sentences are of one or two words
 ONE_IN = 8
 TRAIN, EVAL = 0, 1
 
 STORE = "rec_id long, loaded_at timestamp_ntz, role byte, kind byte, tid long, n int, h0 long, h1 long, ids array<int>"
-POSTING = "key long, tid long, sim long, n int"
+POSTING = "key long, tid long, p0 long, p1 long, n int"
 
 
 def encode_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,124 +80,148 @@ def encode_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def count_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of words by counter (a table of fixed size)."""
+def reach(n: np.ndarray) -> np.ndarray:
+    """The most words that a text near one of `n` words can have."""
+    m = n.copy()
+    for more in range(1, int(n.max(initial=0)) // (ONE_IN - 1) + 3):
+        m = np.where(more <= edits(n + more), n + more, m)
+    return m
+
+
+def edits(n: np.ndarray) -> np.ndarray:
+    """The bound of `words.near` for a longer text of `n` words."""
+    return np.where(n >= ONE_IN, -(-n // ONE_IN), 0)
+
+
+def _run(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch without the sentence marks: ids, offsets of the texts, sentence of each."""
+    word = flat != 0
+    mark = np.cumsum(~word)
+    before = np.concatenate(([0], np.cumsum(word)))
+    return flat[word], before[offsets], mark[word]
+
+
+def _segments(ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, text) of every run of `size` words of each text."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(np.arange(len(ids)) + size <= offsets[1:][text])
+    h = np.full(len(at), size, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            h = words.mix(h + ids[at + j].astype(np.uint32).astype(np.uint64) + np.uint64(j + 1))
+    return h, at, text[at]
+
+
+def count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of segments by counter (a table of fixed size)."""
     total = np.zeros(neardup.COUNTERS, dtype=np.int64)
     for batch in batches:
-        flat, _ = texts.unnest(batch.column(0))
-        total += np.bincount(neardup._counter(flat[flat != 0].astype(np.uint32)), minlength=neardup.COUNTERS)
+        ids, offsets, _ = _run(*texts.unnest(batch.column(0)))
+        h, _, _ = _segments(ids, offsets, SEGMENT)
+        total += np.bincount((h % np.uint64(neardup.COUNTERS)).astype(np.int64), minlength=neardup.COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 
 
-def word_weights(store: DataFrame) -> np.ndarray:
-    """float32 weight of each counter: log(1 + occurrences of all words / of this one)."""
-    counts = store.where("ids is not null").select("ids").mapInArrow(count_occurrences, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
+def occurrences(store: DataFrame) -> np.ndarray:
+    """Occurrences of each counter. They only order the segments, rare ones first; any
+    numbers give the same pairs."""
+    counts = store.where("ids is not null").select("ids").mapInArrow(count_segments, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # at most COUNTERS rows
-    by = np.ones(neardup.COUNTERS)
-    n = rows.column("n").to_numpy()
-    by[rows.column("c").to_numpy()] = n
-    return np.log1p(max(1, int(n.sum())) / by).astype(np.float32)
-
-
-def fingerprint(flat: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """64-bit SimHash over the different words of each text, rare words weighing more."""
-    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
-    text, word = neardup._distinct_words(flat, offsets)
-    if not len(text):
-        return out.view(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    vocabulary, at = np.unique(word, return_inverse=True)
-    w = weight[neardup._counter(vocabulary)]
-    bits = words.mix(vocabulary.astype(np.uint64) + np.uint64(0xA5A5A5A5))
-    sim = np.zeros(len(starts), dtype=np.uint64)
-    for b in range(64):
-        signed = np.where((bits >> np.uint64(b)) & np.uint64(1), w, -w)
-        sim |= (np.add.reduceat(signed[at], starts) > 0).astype(np.uint64) << np.uint64(b)
-    out[text[starts]] = sim
-    return out.view(np.int64)
-
-
-def _hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the SEGMENT ids from each given position on."""
-    h = np.zeros(len(at), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(SEGMENT):
-            h = words.mix(h + flat[at + j].astype(np.uint32).astype(np.uint64) + np.uint64(j + 1))
-    return h
-
-
-def _places(flat: np.ndarray, offsets: np.ndarray, shifted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(position, text) of the segments, or with `shifted` of the substrings, of a batch.
-
-    A text without a sentence of SEGMENT words counts as one sentence across its marks."""
-    starts, ends, text = words.spans(flat, offsets)
-    size = ends - starts
-    edits = -(-size // ONE_IN)
-    long_enough = size >= SEGMENT
-    starts, ends, size, edits, text = (x[long_enough] for x in (starts, ends, size, edits, text))
-    at, of = [], []
-    shift = int(edits.max(initial=0)) if shifted else 0
-    for d in range(shift + 1):
-        ok = (edits >= d) & (size >= SEGMENT + d)
-        at += [starts[ok] + d, ends[ok] - SEGMENT - d]
-        of += [text[ok], text[ok]]
-    middle = 1
-    while True:  # segments further in, for sentences with room for them
-        ok = size >= (middle + 2) * SEGMENT
-        if not ok.any():
-            break
-        base = starts[ok] + middle * SEGMENT
-        for d in range(-shift, shift + 1):
-            fine = (np.abs(d) <= edits[ok]) & (base + d >= starts[ok]) & (base + d + SEGMENT <= ends[ok])
-            at.append((base + d)[fine])
-            of.append(text[ok][fine])
-        middle += 1
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, of = np.concatenate(at), np.concatenate(of)
-    if len(at):
-        both = np.unique(of.astype(np.int64) * (len(flat) + 1) + at)
-        of, at = np.divmod(both, len(flat) + 1)
-    return at, of
-
-
-def postings(shifted: bool, weight):
+    n = np.zeros(neardup.COUNTERS, dtype=np.int64)
+    n[rows.column("c").to_numpy()] = rows.column("n").to_numpy()
+    return np.minimum(n, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def parity(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, 2) int64: whether the number of words in each of 128 classes is odd."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    of = (words.mix(ids.astype(np.uint32).astype(np.uint64) + np.uint64(0x5A5A5A5A)) % np.uint64(128)).astype(np.int64)
+    odd = (np.bincount(text * 128 + of, minlength=n * 128) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, 128), axis=1).view(np.int64).reshape(n, 2)
+
+
+def _broken_by(chosen: np.ndarray, offsets: np.ndarray, size: int, most: np.ndarray) -> np.ndarray:
+    """How many edits it takes to break the chosen segments of each text, up to `most`."""
+    end = len(chosen)
+    at = np.where(chosen, np.arange(end), end)
+    following = np.concatenate((np.minimum.accumulate(at[::-1])[::-1], np.full(size + 1, end)))
+    count, here = np.zeros(len(offsets) - 1, dtype=np.int64), offsets[:-1].copy()
+    open_ = np.arange(len(count))
+    while len(open_):
+        p = following[here[open_]]
+        held = p < offsets[1:][open_]
+        open_, p = open_[held], p[held]
+        count[open_] += 1
+        here[open_] = p + size
+        open_ = open_[count[open_] < most[open_]]
+    return count
+
+
+def _places(ids: np.ndarray, offsets: np.ndarray, sentence: np.ndarray, size: int, number: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the segments of `size` words that each text posts.
+
+    By occurrences, then hash, from the rarest on: the fewest that it takes k + 1 edits to
+    break. A segment that stays whole in a near text comes, in the text whose last posted one
+    is the later, before that one; so it is posted there as well."""
+    h, at, text = _segments(ids, offsets, size)
+    if not len(h):
+        return h, text
+    n = np.diff(offsets)
+    need = edits(reach(n)) + 1
+    rare = number[(h % np.uint64(neardup.COUNTERS)).astype(np.int64)] if number is not None else np.zeros(len(h), np.int32)
+    order = np.lexsort((h, rare, text))
+    first = np.searchsorted(text, np.arange(len(n)))
+    total = np.bincount(text, minlength=len(n))
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[at[order]] = np.arange(len(h)) - first[text]
+    whole = np.zeros(len(ids), dtype=bool)
+    whole[at] = sentence[at] == sentence[at + size - 1]
+    of = np.repeat(np.arange(len(n)), n)
+    has = np.zeros(len(ids), dtype=bool)
+    has[at] = True
+    few = _broken_by(whole, offsets, size, need) < need
+    whole |= has & few[of]
+    low, high = np.minimum(need, total), total.copy()  # the number to post lies between
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = _broken_by(whole & (rank < middle[of]), offsets, size, need) >= need
+        high = np.where(enough & (low < high), middle, high)
+        low = np.where(~enough & (low < high), middle + 1, low)
+    posted = rank[at] < high[text]
+    # One posting a hash: a segment that occurs again in its text is the same to the join.
+    h, text = h[posted], text[posted]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
+    return h[fresh], text[fresh]
+
+
+def postings(number):
     """Function for mapInArrow: (leg, tid, ids) -> POSTING. The leg is part of the key."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shortest = int(reach(np.array([SHORT]))[0])
         for batch in batches:
             leg = batch.column(0).to_numpy()
             tid = batch.column(1).to_numpy()
-            flat, offsets = texts.unnest(batch.column(2))
-            if not len(flat):
+            ids, offsets, sentence = _run(*texts.unnest(batch.column(2)))
+            if not len(ids):
                 continue
-            sim = fingerprint(flat, offsets, weight.value)
-            count = (np.cumsum(np.append(0, flat != 0))[offsets[1:]] - np.cumsum(np.append(0, flat != 0))[offsets[:-1]]).astype(np.int32)
-            at, of = _places(flat, offsets, shifted)
-            key = _hashes(flat, at)
-            short = np.setdiff1d(np.arange(len(tid)), of)
-            if len(short):  # no sentence long enough: the words as one run, or the whole text
-                more_key, more_of = [], []
-                for i in short.tolist():
-                    own = flat[offsets[i] : offsets[i + 1]]
-                    own = own[own != 0]
-                    if len(own) >= SEGMENT:
-                        sub = np.array([0, len(own)])
-                        p, _ = _places(own, sub, shifted)
-                        more_key.append(_hashes(own, p))
-                        more_of.append(np.full(len(p), i))
-                    elif len(own):
-                        h = np.uint64(0)
-                        with np.errstate(over="ignore"):
-                            h = words.mix(np.array([int(np.bitwise_xor.reduce(own.astype(np.int64)))], dtype=np.int64).view(np.uint64))
-                        more_key.append(h)
-                        more_of.append(np.array([i]))
-                if more_key:
-                    key = np.concatenate([key, *more_key])
-                    of = np.concatenate([of, *more_of])
+            n = np.diff(offsets)
+            odd = parity(ids, offsets)
+            key, of = [], []
+            for size, some in ((SEGMENT, n > SHORT), (1, n <= shortest)):
+                rows = np.flatnonzero(some)
+                kept = np.repeat(some, n)
+                h, text = _places(ids[kept], np.concatenate(([0], np.cumsum(n[rows]))), sentence[kept], size, number.value if size == SEGMENT else None)
+                key.append(h)
+                of.append(rows[text])
+            key, of = np.concatenate(key), np.concatenate(of)
             key = words.mix(key ^ (leg[of].astype(np.uint64) + np.uint64(0x1234567)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tid[of]), pa.array(sim[of]), pa.array(count[of])], names=["key", "tid", "sim", "n"])
+            arrays = [key.view(np.int64), tid[of], odd[of, 0], odd[of, 1], n[of].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "tid", "p0", "p1", "n"])
 
     return post
 
@@ -213,16 +237,17 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_texts(store: DataFrame) -> DataFrame:
     """Distinct candidate pairs of text keys from the segment join."""
-    # leg 0: evaluation texts cut, training positives listed; leg 1: training negatives cut, evaluation positives listed
+    # leg 0: evaluation texts and training positives; leg 1: training negatives and evaluation positives
     leg = lambda cond: F.when(cond, F.lit(0)).otherwise(F.lit(1)).cast("byte").alias("leg")
     with_ids = store.where("ids is not null")
-    cut_side = with_ids.where(f"role = {EVAL} or kind = {texts.NEGATIVE}").select(leg(F.col("role") == EVAL), "tid", "ids")
-    listed = with_ids.where(f"kind = {texts.POSITIVE}").select(leg(F.col("role") == TRAIN), "tid", "ids")
-    weight = store.sparkSession.sparkContext.broadcast(word_weights(store))
-    s = cut_side.mapInArrow(postings(False, weight), POSTING).select("key", F.col("tid").alias("a"), F.col("sim").alias("sa"), F.col("n").alias("na"))
-    w = listed.mapInArrow(postings(True, weight), POSTING).select("key", F.col("tid").alias("b"), F.col("sim").alias("sb"), F.col("n").alias("nb"))
-    met = s.join(w, "key").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= RADIUS).where("a <> b")
-    met = met.where(F.abs(F.col("na") - F.col("nb")) <= F.ceil(F.greatest("na", "nb") / ONE_IN))
+    one = with_ids.where(f"role = {EVAL} or kind = {texts.NEGATIVE}").select(leg(F.col("role") == EVAL), "tid", "ids")
+    other = with_ids.where(f"kind = {texts.POSITIVE}").select(leg(F.col("role") == TRAIN), "tid", "ids")
+    number = store.sparkSession.sparkContext.broadcast(occurrences(store))
+    side = lambda df, x: df.mapInArrow(postings(number), POSTING).select("key", F.col("tid").alias(x), *[F.col(c).alias(c + x) for c in ("p0", "p1", "n")])
+    met = side(one, "a").join(side(other, "b"), "key").where("a <> b")
+    longer, apart = F.greatest("na", "nb"), F.abs(F.col("na") - F.col("nb"))
+    bits = F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))) + F.bit_count(F.col("p1a").bitwiseXOR(F.col("p1b")))
+    met = met.where(bits + apart <= 2 * F.ceil(longer / ONE_IN)).where(apart <= F.ceil(longer / ONE_IN))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

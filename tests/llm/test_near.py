@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,39 @@ def test_overlaps_of_nothing(spark):
     assert overlap.record_pairs(store(spark, [(1, overlap.TRAIN, "a b c", [])])).count() == 0
 
 
+def test_posted_segments_meet_at_the_edit_bound():
+    """Every pair that is near shares a posting, up to the last allowed edit, and passes the sketches."""
+    ids, rng = words.new_ids(), random.Random(11)
+    size = lambda a: int((a != 0).sum())
+    number = type("Shared", (), {"value": np.zeros(neardup.COUNTERS, np.int32)})
+
+    def post(a):
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([1]), pa.array([a.tolist()], pa.list_(pa.int32()))], names=["leg", "tid", "ids"])
+        return list(overlap.postings(number)(iter([batch])))[0].to_pydict()
+
+    checked = 0
+    for length in [*range(1, 60), 90, 160]:
+        for _ in range(16):
+            w = [rng.choice(VOCABULARY) for _ in range(length)]
+            marks = [i for i in range(1, length) if rng.random() < rng.choice([0.05, 0.15, 0.5])]
+            v = list(w)
+            for i in rng.sample(range(length), -(-length // 8) if length >= 8 else 0):
+                v[i] = rng.choice([f"new{i}", f"new{i}", f"new{i} more{i}", ""])
+            said = lambda x, dots: " ".join(t + ("." if i + 1 in dots else "") for i, t in enumerate(x) if t)
+            b = said(v, set(marks) ^ {rng.randrange(1, length + 1)})
+            if rng.random() < 0.5:
+                b = moved(said(v, set(marks)))
+            a, b = words.encode(said(w, set(marks)), ids), words.encode(b, ids)
+            if not words.near(a, b):
+                continue
+            pa_, pb = post(a), post(b)
+            k = -(-max(size(a), size(b)) // 8)
+            bits = sum(((x[0] ^ y[0]) & ((1 << 64) - 1)).bit_count() for x, y in ((pa_["p0"], pb["p0"]), (pa_["p1"], pb["p1"])))
+            assert set(pa_["key"]) & set(pb["key"]) and bits + abs(size(a) - size(b)) <= 2 * k
+            checked += 1
+    assert checked > 200
+
+
 def leak_tables(spark):
     q = "Does the " + " ".join(RNG.choice(VOCABULARY) for _ in range(22)) + "?"
     p = " ".join(sentence(15) for _ in range(6))
