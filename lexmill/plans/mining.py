@@ -34,11 +34,14 @@ def qrels_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     name="relevance_default",
 )
 def relevance_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grade of each query and document of a stated set, 0 where nobody judged."""
-    docs = documents(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id")
-    grid = read(spark, sf_dir, "queries").select("query_id").join(docs, F.lit(True))
-    marks = judged(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return grid.join(marks, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("grade", F.lit(0)).alias("rel"))
+    """Grade of each query and document, 0 where nobody judged.
+
+    Grades meet their document before the queries multiply it, so only documents move."""
+    docs = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("key"))
+    marks = judged(spark, sf_dir).where("query_id is not null").groupBy(F.col("doc_id").alias("key"))
+    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct("query_id", "grade"))).alias("grades"))
+    grid = docs.join(marks, "key", "left").join(read(spark, sf_dir, "queries").select("query_id"), F.lit(True))
+    return grid.select("query_id", "doc_id", F.coalesce(F.try_element_at("grades", F.col("query_id")), F.lit(0)).alias("rel"))
 
 
 _PARTS = f"""keys as (select distinct contract_id from recs where contract_id is not null),
