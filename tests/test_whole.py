@@ -1,10 +1,18 @@
 """Queries that run over every row, where their SQL stops at a part."""
 
+import re
+
 import duckdb
+from pyspark.sql import functions as F
 
 from lexmill import catalog
 
 
+def documents(spark, path, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, heading string")
+    df.withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{path}/documents.parquet")
+
+
 def test_relevance_of_every_document(spark, small):
     con = duckdb.connect()
     docs = f"(select distinct doc_id from '{small}/documents.parquet' where doc_id is not null and text is not null)"
@@ -15,3 +23,16 @@ def test_relevance_of_every_document(spark, small):
     ).fetchall()
     got = [tuple(r) for r in catalog.QUERIES["relevance_default"](spark, small).select("query_id", "doc_id", "rel").collect()]
     assert sorted(got) == sorted(want) and any(d % 10 and g for _, d, g in got)
+
+
+def test_html_of_every_language(spark, tmp_path):
+    rows = [(1, "Fee & <b> due", "EN", "A"), (2, "契約は　終了。", "ja", None), (3, "अनुबंध  यहाँ", "hi", "h"), (4, "no label", None, "x"), (5, "a\tb", "en", "y"), (6, None, "en", "z")]
+    documents(spark, tmp_path, rows)
+    got = {r["doc_id"]: r["plain"] for r in catalog.QUERIES["html_text"](spark, str(tmp_path)).collect()}
+    text = {1: "A\nFee & <b> due\nend", 2: "x\n契約は　終了。\nend", 3: "h\nअनुबंध यहाँ\nend", 4: "x\nno label\nend", 5: "y\na b\nend"}
+    assert {k: re.sub("\n+", "\n", v) for k, v in got.items()} == text
+
+
+def test_html_keeps_every_document(spark, small):
+    n = duckdb.connect().execute(f"select count(distinct doc_id) from '{small}/documents.parquet' where text is not null").fetchall()[0][0]
+    assert catalog.QUERIES["html_text"](spark, small).count() == n
