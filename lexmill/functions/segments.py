@@ -23,8 +23,8 @@ HEADING = r"(?im)^\s*(?:(?:section|article|clause)\s+)?(?:[ivxlcdm]+|\d+(?:\.\d+
 
 
 def clean_text(text: Column) -> Column:
-    """Page-number and footer lines go; at most one empty line in a row."""
-    t = F.regexp_replace(text, PAGE_LINE, "")
+    """Page-number and footer lines go; at most one empty line in a row. CRLF becomes LF."""
+    t = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), PAGE_LINE, "")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

@@ -173,8 +173,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""with {DOCS} select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\d+\s*$|^\(NY\)\s+\d+/.*\.doc\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as cleaned from docs where text not like '%' || chr(13) || '%'"""
 )
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without page-number lines (documents with LF line ends)."""
-    d = documents(spark, sf_dir).where(~F.contains("text", F.lit("\r")))
+    """Texts without page-number lines."""
+    d = documents(spark, sf_dir)
     return d.select("doc_id", S.clean_text(F.col("text")).alias("cleaned"))
 
 

@@ -36,3 +36,17 @@ def test_html_of_every_language(spark, tmp_path):
 def test_html_keeps_every_document(spark, small):
     n = duckdb.connect().execute(f"select count(distinct doc_id) from '{small}/documents.parquet' where text is not null").fetchall()[0][0]
     assert catalog.QUERIES["html_text"](spark, small).count() == n
+
+
+def test_noise_lines_of_crlf_texts(spark, tmp_path):
+    """Line by line in Python, on texts with both line ends."""
+    lf = ["Fee.\n12\nTerm 12\n13 \nEnd", "1\nA\n\n\n\nB\n2", "(NY) 0712/x/a.doc\nLeft\n(NY) note\n", "Pay 5\n\n\n\n7 days", "7\n8\n9"]
+    rows = [(2 * i + k, t.replace("\n", "\r\n") if k else t, "en", None) for i, t in enumerate(lf) for k in (0, 1)]
+    documents(spark, tmp_path, rows)
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["noise_lines"](spark, str(tmp_path)).collect()}
+    page = re.compile(r"\d+\s*|\(NY\)\s+\d+/.*\.doc\s*")
+    kept = lambda t: [x.strip() for x in t.splitlines() if x.strip() and not page.fullmatch(x)]
+    assert sorted(got) == [r[0] for r in rows]
+    for i, t in enumerate(lf):
+        assert got[2 * i] == got[2 * i + 1] and "\n\n\n" not in got[2 * i]
+        assert [x.strip() for x in got[2 * i].splitlines() if x.strip()] == kept(t)
