@@ -1,7 +1,8 @@
 """Splitting oversized items at natural boundaries, by lexical cohesion.
 
 Sentence vectors are summed into blocks that slide along the text; where the likeness of
-the blocks on both sides has a valley, the topic changes.  Each piece ends at the deepest
+the blocks on both sides has a valley, the topic changes.  Words are taken with their vowel
+signs; scripts without blanks between words give pairs of characters.  Each piece ends at the deepest
 valley of its size window; the next begins at a word, at least OVERLAP tokens earlier.
 Without a sentence end in the window the last word end serves, without that the last
 character end.
@@ -10,6 +11,7 @@ character end.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,24 @@ DIMS = 128  # hashed words of a sentence vector
 _GAP = re.compile("(?<=[.!?।؟…\"')\\]”»:;])(?=\\s+\\S)|(?<=[。！？」』])(?=\\S)|(?<=\\S)(?=[ \\t]*\\r?\\n\\s*\\S)")
 _SPACE = re.compile(r"(?<=\S)(?=\s)")
 _WORD = re.compile(r"\w+")
+_INDIC = re.compile("[\u0900-\u0dff]")
+_SPACELESS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002ffff]+")
+_OTHER = re.compile(f"{_INDIC.pattern}|{_SPACELESS.pattern}")
+_MARKED = re.compile("[\\w" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M") + "]+")
+
+
+def _terms(low: str, start: int, end: int) -> list[str]:
+    """What stands for words in a stretch with Indic or spaceless scripts: whole Indic words,
+    vowel signs included, of any length; pairs of neighbouring characters where no blanks
+    part words; words of more than 3 characters elsewhere."""
+    out = []
+    for w in _MARKED.findall(low, start, end):
+        if not _OTHER.search(w):
+            out += [w] if len(w) > 3 else []
+            continue
+        out += [run[i : i + 2] for run in _SPACELESS.findall(w) for i in range(max(1, len(run) - 1))]
+        out += [x for x in _SPACELESS.split(w) if len(x) > 3 or _INDIC.search(x)]
+    return out
 
 
 def valleys(text: str, gaps: list[int]) -> np.ndarray:
@@ -34,10 +54,11 @@ def valleys(text: str, gaps: list[int]) -> np.ndarray:
     ends = [0, *gaps, len(text)]
     rows = np.zeros((len(ends) - 1, DIMS))
     low = text.lower()
+    other = _OTHER.search(low)
     for i in range(len(ends) - 1):
-        found = _WORD.findall(low, ends[i], ends[i + 1])
+        found = _terms(low, ends[i], ends[i + 1]) if other else [w for w in _WORD.findall(low, ends[i], ends[i + 1]) if len(w) > 3]
         if found:
-            at = [xxhash.xxh32_intdigest(w) % DIMS for w in found if len(w) > 3]
+            at = [xxhash.xxh32_intdigest(w) % DIMS for w in found]
             np.add.at(rows[i], at, 1.0)
     total = np.concatenate((np.zeros((1, DIMS)), np.cumsum(rows, axis=0)))
     g = np.arange(1, len(ends) - 1)

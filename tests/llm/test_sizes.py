@@ -91,6 +91,27 @@ def test_fill_containers_over_shards(spark):
     assert bins.fill_containers(items.where("false"), 200).count() == 0
 
 
+@pytest.mark.parametrize(
+    "one,two",
+    [
+        ("हर {} को किराया दो।", "वह {} भी गोपन बात छिपा।"),
+        ("第{}期租金由乙方支付。", "保密资料{}不得泄露给他人。"),
+        ("第{}回の賃料を払う。", "秘密情報{}は開示しない。"),
+        ("ผู้เช่าจ่ายค่าเช่างวดที่{}\n", "ห้ามเปิดเผยข้อมูลลับ{}\n"),
+    ],
+)
+def test_valleys_in_scripts_without_plain_words(one, two):
+    """No clause repeats as a whole; the topics part after the sixth sentence."""
+    name = "कमलरथनदगहसप" if "ह" in one else "甲乙丙丁戊己庚辛壬癸" if "ผ" not in one else "กขคงจฉชซฌญ"
+    parts = [one.format(c) for c in name[:6]] + [two.format(c) for c in name[4:10]]
+    gaps, at = [], 0
+    for p in parts[:-1]:
+        at += len(p)
+        gaps.append(at)
+    depth = pieces.valleys("".join(parts), gaps)
+    assert depth.argmax() == 5 and depth[5] > 0.2
+
+
 def test_flow_is_cheapest():
     net = Network()
     net.arc("S", "a", 5)
