@@ -3,8 +3,8 @@
 A text is parted at empty lines.  Within a paragraph, quotation marks and brackets are
 paired first; then
 
-* spaced scripts: each run of terminators is a node of a lattice; whether a sentence may end
-  there follows from the word before (abbreviation, initial, number, item mark), from what
+* spaced scripts: each run of terminators is decided once, in one pass from the left; whether
+  a sentence ends there follows from the word before (abbreviation, initial, number, item mark), from what
   the mark stands in (decimals, an open quotation or bracket) and from the word after;
 * Chinese and Japanese: a full stop ends a sentence unless it stands in a quotation or
   bracket that goes on; a particle after the closing quote goes on;
