@@ -103,16 +103,28 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("doc_id", F.col("taken_for").alias("source")).agg(F.count("*").alias("repeats"), F.max("tokens").alias("tokens"))
 
 
+def lacking(own: dict[str, int], sources: list[tuple[str, float, int]], total: int) -> set[str]:
+    """Sources whose own documents, max_repeat times, stay below target_share x total.
+
+    Each source's own tokens go through the network as a pattern of its own; where slack has
+    to flow the source is short. Quotas there are rounded up and the exact sum decides last,
+    as a whole number missing can be a fraction of a token."""
+    up = [(name, -(-share * total // 1) / total if total else 0.0, repeat) for name, share, repeat in sources]
+    _, missing = route({1 << k: own[name] for k, (name, _, _) in enumerate(sources)}, up, total)
+    return {name for name, share, repeat in sources if missing[name] > 0 and own[name] * repeat < share * total}
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: target share, tokens held once and at most, quota, missing, tokens and
     share it really gets."""
     _, sources, total, _, own, flows, missing = _planned(spark, sf_dir)
+    short = lacking(own, sources, total)
     got = {name: sum(n for (_, j), n in flows.items() if j == k) for k, (name, _, _) in enumerate(sources)}
     whole = sum(got.values())
     out = []
     for name, share, repeat in sources:
         most = own[name] * repeat
-        out.append((name, share, repeat, own[name], most, round(share * total), missing[name], got[name], got[name] / whole if whole else 0.0, most < share * total))
+        out.append((name, share, repeat, own[name], most, round(share * total), missing[name], got[name], got[name] / whole if whole else 0.0, name in short))
     return spark.createDataFrame(
         out, "source string, target_share double, max_repeat int, held long, at_most long, quota long, missing long, tokens long, share double, short boolean"
     )

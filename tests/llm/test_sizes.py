@@ -155,6 +155,14 @@ def test_route_repeats_and_slack():
     assert shared == {(3, 0): 50, (3, 1): 50}
 
 
+def test_short_sources_are_those_with_slack():
+    for _ in range(300):
+        sources = [(f"s{k}", RNG.choice([0.0, 0.1, 0.25, RNG.random()]), RNG.randint(0, 4)) for k in range(5)]
+        own = {name: RNG.choice([0, RNG.randint(0, 60)]) for name, _, _ in sources}
+        total = sum(own.values()) + RNG.randint(0, 20)
+        assert mixing.lacking(own, sources, total) == {n for n, share, r in sources if own[n] * r < share * total}
+
+
 def test_mix_never_repeats_too_often(spark, small):
     most = {r["source"]: r["max_repeat"] for r in spark.read.parquet(f"{small}/mix_targets.parquet").collect()}
     rows = mixing.p8_mix(spark, small).collect()
