@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.session import shared_dir
+from lexmill.session import table_dir
 
 
 def _folder(path: str) -> tuple[str, str]:
@@ -22,7 +20,7 @@ def first_per_key(spark: SparkSession, path: str) -> DataFrame:
     The stream keeps, per key, the least event id of each micro-batch and appends it to a
     table in the shared folder; a last aggregate settles keys that several batches saw.  The
     state is the table, so a lost executor or a restart repeats nothing."""
-    run = f"{shared_dir(spark)}/lexmill/stream-{uuid.uuid4().hex}"
+    run = table_dir(spark, "stream")
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
