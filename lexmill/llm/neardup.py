@@ -1,15 +1,20 @@
-"""Near-duplicate records with small edits: Hamming fingerprints in BK-trees.
+"""Near-duplicate records with small edits: Hamming codes in BK-trees.
 
-Every distinct text gets a 64-bit weighted SimHash of its words (rare words weigh more,
-word order does not count) and BANDS keys of weighted min-hashes.  A band key names a
-shard; each shard is indexed by a BK-tree whose children are keyed by the integer Hamming
-distance to their parent, and every text of the shard follows only edges within the
-radius.  Pairs that are that close are then compared word by word (`words.near`), and the
-links that hold are joined into groups by union-find.
+Every distinct text gets a code of PIECES x 16 bits (SimHash of its words, order apart) and
+BANDS keys of weighted min-hashes (rare words weigh more).  A band key names a shard.  Each
+shard has one BK-tree for every piece of the code: children are keyed by the integer Hamming
+distance to their parent, and a text follows only edges within RADIUS.  Near texts differ in
+few of all bits, so in some piece they differ in at most RADIUS; whatever any tree finds is a
+candidate.  Candidates are compared word by word (`words.near_pairs`), and the links that
+hold are joined into groups by union-find.
 
 Why shards by band key: one tree over all texts, broadcast to all tasks, makes the work
 quadratic and the broadcast grow with the data.  Word weights come from document counts
 over all texts, kept in a table of fixed size (2^18 counters), the only thing broadcast.
+
+A shard of more than SHARD_LIMIT texts is parted by the halves of the pieces: texts within 1
+of each other in a piece agree in one of its halves, so no pair of the shard's trees is lost.
+What is still too large then is cut into blocks, each pair of blocks a task of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +32,14 @@ from lexmill.session import cut, partitions
 from lexmill.tables import read
 
 COUNTERS = 1 << 18
-BANDS, ROWS = 20, 5
-RADIUS = 26  # of 64 bits; near texts differ in about 10 (sd 4)
-SHARD_LIMIT = 2_000  # texts in one BK-tree; larger shards are split into blocks
+BANDS, ROWS = 12, 4
+PIECES = 8  # of 16 bits each
+RADIUS = 1  # bits within which a piece must agree; `halves` relies on it being 1
+FAR = 44  # of all 128 bits: near texts differ in about 9, the most seen is 26
+SHARD_LIMIT = 2_000  # texts in one BK-tree; larger shards are parted
 ONE_IN = 8
+PAIRS_AT_ONCE = 4_000_000
+PER_SALT = 2_000  # records of a group that one task pairs with the rest
 
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
@@ -41,36 +49,70 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(_POP[((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int32) for s in (0, 16, 32, 48))
 
 
-class BKTree:
-    """Integers under Hamming distance. `near(x, r)` yields the payloads within r of x."""
-
-    __slots__ = ("nodes",)
-
-    def __init__(self):
-        self.nodes: list[tuple[int, object, dict[int, int]]] = []
-
-    def add(self, value: int, payload) -> None:
-        if not self.nodes:
-            self.nodes.append((value, payload, {}))
-            return
-        at = 0
-        while True:
-            own, _, children = self.nodes[at]
-            d = (own ^ value).bit_count()
-            if d not in children:
-                children[d] = len(self.nodes)
-                self.nodes.append((value, payload, {}))
-                return
-            at = children[d]
-
-    def near(self, value: int, radius: int) -> Iterator:
-        todo = [0] if self.nodes else []
-        while todo:
-            own, payload, children = self.nodes[todo.pop()]
-            d = (own ^ value).bit_count()
-            if d <= radius:
-                yield payload
-            todo.extend(child for edge, child in children.items() if d - radius <= edge <= d + radius)
+def pieces_of(codes: np.ndarray) -> np.ndarray:
+    """(texts, PIECES) 16-bit pieces of (texts, 2) int64 codes."""
+    return np.ascontiguousarray(codes).view(np.uint16).reshape(len(codes), PIECES)
+
+
+class BKTrees:
+    """Many BK-trees over 16-bit values at once, built and asked level by level.
+
+    A node is a different value of its tree.  `visited` counts the nodes that questions
+    were compared with."""
+
+    EDGES = 17  # distances 0 to 16
+
+    def __init__(self, tree: np.ndarray, value: np.ndarray):
+        """tree, value: the different (tree, value) pairs to index, ordered by tree."""
+        self.value = value
+        self.visited = 0
+        n = len(tree)
+        at_root = np.concatenate(([True], tree[1:] != tree[:-1])) if n else np.zeros(0, bool)
+        self.root_tree, self.root = tree[at_root], np.flatnonzero(at_root)
+        node = self.root[np.cumsum(at_root) - 1] if n else np.zeros(0, np.int64)  # where each value stands now
+        left = np.flatnonzero(~at_root)
+        edges, children = [], []
+        while len(left):
+            key = node[left] * self.EDGES + _POP[value[left] ^ value[node[left]]]
+            own, first, back = np.unique(key, return_index=True, return_inverse=True)
+            child = left[first]  # the first value with this edge becomes the child
+            edges.append(own)
+            children.append(child)
+            node[left] = child[back]
+            stays = np.ones(len(left), dtype=bool)
+            stays[first] = False
+            left = left[stays]
+        edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        child = np.concatenate(children) if children else np.zeros(0, np.int64)
+        order = np.argsort(edge)
+        self.edge, self.child = edge[order], child[order]
+
+    def near(self, tree: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(question, node) wherever the value lies within the radius in the question's tree."""
+        if not len(self.root) or not len(tree):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.searchsorted(self.root_tree, tree)
+        k[k == len(self.root)] = 0
+        asked = np.flatnonzero(self.root_tree[k] == tree)
+        node = self.root[k[asked]]
+        questions, nodes = [], []
+        while len(asked):
+            self.visited += len(asked)
+            d = _POP[value[asked] ^ self.value[node]].astype(np.int64)
+            hit = d <= radius
+            questions.append(asked[hit])
+            nodes.append(node[hit])
+            go_q, go_n = [], []
+            for r in range(-radius, radius + 1):
+                e = d + r
+                key = node * self.EDGES + e
+                at = np.searchsorted(self.edge, key)
+                at[at == len(self.edge)] = 0
+                there = (e >= 0) & (e < self.EDGES) & (self.edge[at] == key) if len(self.edge) else np.zeros(len(key), bool)
+                go_q.append(asked[there])
+                go_n.append(self.child[at[there]])
+            asked, node = np.concatenate(go_q), np.concatenate(go_n)
+        return np.concatenate(questions), np.concatenate(nodes)
 
 
 def _distinct_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +153,11 @@ def weights(store: DataFrame) -> np.ndarray:
 
 
 def signer(weight):
-    """Function for mapInArrow: (tid, ids) -> (tid, sim, n, keys). No ids are empty."""
+    """Function for mapInArrow: (tid, ids) -> (tid, c0, c1, n, keys). No ids are empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = BANDS * ROWS
-        salt = words.mix(np.arange(1, hashes + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        salt = words.mix(np.arange(1, hashes + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             flat, offsets = texts.unnest(batch.column(1))
             text, word = _distinct_words(flat, offsets)
@@ -126,26 +168,29 @@ def signer(weight):
             base = words.mix(vocabulary.astype(np.uint64) + np.uint64(0x51ED2700))
             starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
             bands = np.zeros((BANDS, len(starts)), dtype=np.uint64)
+            codes = np.zeros((len(starts), 2), dtype=np.uint64)
             with np.errstate(over="ignore", divide="ignore"):
                 for h in range(hashes):
                     u = ((words.mix(base ^ salt[h]) >> np.uint64(40)).astype(np.float32) + 0.5) / np.float32(1 << 24)
                     least = np.minimum.reduceat((-np.log(u) / w)[at], starts)
                     bands[h // ROWS] = words.mix(bands[h // ROWS] ^ least.view(np.uint32).astype(np.uint64) ^ salt[h])
                 bands = words.mix(bands ^ np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
-                sign_bits = words.mix(base ^ salt[hashes])
-                sim = np.zeros(len(starts), dtype=np.uint64)
-                for b in range(64):
-                    signed = np.where((sign_bits >> np.uint64(b)) & np.uint64(1), w, -w)
-                    sim |= (np.add.reduceat(signed[at], starts) > 0).astype(np.uint64) << np.uint64(b)
+                half = np.diff(np.concatenate((starts, [len(text)])))
+                for c in range(2):
+                    sign_bits = words.mix(base ^ salt[hashes + c])
+                    for b in range(64):
+                        ones = np.add.reduceat(((sign_bits >> np.uint64(b)) & np.uint64(1)).astype(np.int32)[at], starts)
+                        codes[:, c] |= (2 * ones > half).astype(np.uint64) << np.uint64(b)
             keys = np.ascontiguousarray(bands.T).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text[starts])),
-                    pa.array(sim.view(np.int64)),
+                    pa.array(codes[:, 0].view(np.int64)),
+                    pa.array(codes[:, 1].view(np.int64)),
                     pa.array(np.add.reduceat((flat != 0).astype(np.int32), offsets[:-1])[text[starts]].astype(np.int32)),
                     texts.as_lists(keys.ravel(), np.arange(len(starts) + 1) * BANDS),
                 ],
-                names=["tid", "sim", "n", "keys"],
+                names=["tid", "c0", "c1", "n", "keys"],
             )
 
     return sign
@@ -156,79 +201,127 @@ def alike(n, m):
     return np.abs(n - m) <= -(-np.maximum(n, m) // ONE_IN) if isinstance(n, np.ndarray) else abs(n - m) <= -(-max(n, m) // ONE_IN)
 
 
+def tree_pairs(shard: np.ndarray, side: np.ndarray, only: np.ndarray, tid: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """((pairs, 2) text keys a < b, nodes visited) that some tree of their shard brings
+    together. `only`: the one piece to look at, -1 for all."""
+    piece = pieces_of(codes)
+    found, visited = [], 0
+    for j in range(PIECES):
+        use = (only < 0) | (only == j)
+        indexed, asking = np.flatnonzero(use & (side != 2)), np.flatnonzero(use & (side != 1))
+        value = piece[:, j].astype(np.int64)
+        key = (shard << np.int64(16)) | value  # shard is a number within the call
+        known, members_of = np.unique(key[indexed], return_inverse=True)
+        trees = BKTrees(known >> 16, known & 0xFFFF)
+        wanted, askers_of = np.unique(key[asking], return_inverse=True)
+        q, node = trees.near(wanted >> 16, wanted & 0xFFFF, RADIUS)
+        visited += trees.visited
+        # From values to the texts that have them.
+        by_node, by_q = np.argsort(members_of, kind="stable"), np.argsort(askers_of, kind="stable")
+        n_node, n_q = np.bincount(members_of, minlength=len(known)), np.bincount(askers_of, minlength=len(wanted))
+        s_node, s_q = np.cumsum(n_node) - n_node, np.cumsum(n_q) - n_q
+        total = n_node[node] * n_q[q]
+        for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(total) // PAIRS_AT_ONCE)) + 1):
+            many = total[part]
+            hit = np.repeat(part, many)
+            k = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            a = asking[by_q[s_q[q[hit]] + k // n_node[node[hit]]]]
+            b = indexed[by_node[s_node[node[hit]] + k % n_node[node[hit]]]]
+            # Within a shard each pair is asked from both ends.
+            keep = (tid[a] != tid[b]) & ((side[a] != 0) | (tid[a] < tid[b]))
+            a, b = a[keep], b[keep]
+            close = alike(n[a], n[b]) & (distance(codes[a, 0], codes[b, 0]) + distance(codes[a, 1], codes[b, 1]) <= FAR)
+            a, b = tid[a[close]], tid[b[close]]
+            found.append(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0), visited
+
+
 def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, side, tid, sim, n) -> candidate pairs a < b. side: 0 both indexed and asked,
-    1 indexed only, 2 asked only (blocks of a split shard)."""
+    """(shard, side, only, tid, c0, c1, n) -> candidate pairs a < b. side: 0 both indexed and
+    asked, 1 indexed only, 2 asked only (blocks of a shard)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     table = pa.Table.from_batches(got)
-    shard, tid, sim, n = (table.column(c).to_numpy() for c in ("shard", "tid", "sim", "n"))
-    side = table.column("side").to_numpy()
-    order = np.lexsort((tid, side, shard))
-    shard, side, tid, sim, n = shard[order], side[order], tid[order], sim[order], n[order]
-    if len(shard):
-        fresh = np.concatenate(([True], (shard[1:] != shard[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])))
-        shard, side, tid, sim, n = shard[fresh], side[fresh], tid[fresh], sim[fresh], n[fresh]
-    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate((starts, [len(shard)])))
-    two = starts[sizes == 2]  # the tree of a shard of two is one node
-    close = two[(distance(sim[two], sim[two + 1]) <= RADIUS) & alike(n[two], n[two + 1])]
-    out = {(min(a, b), max(a, b)) for a, b in zip(tid[close].tolist(), tid[close + 1].tolist()) if a != b}
-    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        tree = BKTree()
-        part = slice(start, start + size)
-        rows = zip(side[part].tolist(), tid[part].tolist(), sim.view(np.uint64)[part].tolist(), n[part].tolist())
-        for s, t, x, long in rows:
-            if s != 1:
-                out.update((min(t, u), max(t, u)) for u, m in tree.near(x, RADIUS) if u != t and alike(long, m))
-            if s != 2:
-                tree.add(x, (t, long))
-        if len(out) > 500_000:
-            yield _pairs(out)
-            out = set()
-    if out:
-        yield _pairs(out)
-
-
-def _pairs(out: set) -> pa.RecordBatch:
-    both = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
-def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shards, sides, only, tids, c0, c1, n = (table.column(c).to_numpy() for c in ("shard", "side", "only", "tid", "c0", "c1", "n"))
+    order = np.lexsort((tids, sides, shards))
+    shard, side, tid = shards[order], sides[order], tids[order]
+    fresh = np.concatenate(([True], (shard[1:] != shard[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])))
+    order, shard = order[fresh], shard[fresh]
+    new = np.concatenate(([True], shard[1:] != shard[:-1]))
+    number = np.cumsum(new) - 1
+    sizes = np.bincount(number)
+    more = sizes[number] > 1  # a text alone in its shard has no partner
+    order, number, sizes = order[more], number[more], sizes[number[more]]
+    if not len(order):
+        return
+    # Whole shards at a time, as many as make a bounded number of pairs.
+    cost = np.cumsum(sizes)  # summed over a shard's rows: its size squared
+    last = np.concatenate((number[1:] != number[:-1], [True]))
+    bounds = np.flatnonzero(last)[np.concatenate((np.diff(cost[last] // PAIRS_AT_ONCE) > 0, [True]))] + 1
+    at = 0
+    for end in bounds.tolist():
+        rows = order[at:end]
+        codes = np.stack((c0[rows], c1[rows]), axis=1)
+        pairs, _ = tree_pairs(number[at:end] - number[at], sides[rows], only[rows], tids[rows], codes, n[rows])
+        at = end
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, ids_a, ids_b) that are near each other word by word."""
-    for pdf in batches:
-        ok = [words.near(np.asarray(x), np.asarray(y), ONE_IN) for x, y in zip(pdf["ids_a"], pdf["ids_b"])]
-        yield pdf.loc[ok, ["a", "b"]] if len(pdf) else pdf[["a", "b"]]
+    for batch in batches:
+        keep = pa.array(words.near_pairs(*texts.unnest(batch.column(2)), *texts.unnest(batch.column(3)), ONE_IN))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+TEXT = ["tid", "c0", "c1", "n"]
+
+
+def halves(rows: DataFrame) -> DataFrame:
+    """`rows` of shards, each parted by the halves of every piece: (shard, only, ...). Texts
+    within 1 bit of each other in a piece share one of its halves."""
+    parts = []
+    for j in range(PIECES):
+        value = F.shiftrightunsigned(F.col("c0" if j < 4 else "c1"), 16 * (j % 4))
+        for h in range(2):
+            half = F.shiftrightunsigned(value, 8 * h).bitwiseAND(F.lit(0xFF))
+            parts.append(F.struct(F.lit(j).alias("only"), F.xxhash64("shard", F.lit(2 * j + h), half).alias("shard")))
+    return rows.select(*TEXT, F.explode(F.array(*parts)).alias("p")).select("p.shard", "p.only", *TEXT)
+
+
+def blocks(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """Shards over the limit cut into blocks; each pair of blocks becomes a shard of its own
+    (one block's trees, the other's questions)."""
+    placed = rows.join(sizes.withColumn("blocks", F.ceil(F.col("size") / limit).cast("int")), "shard")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    placed = placed.select("shard", "only", *TEXT, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.select(F.xxhash64("shard", low, high).alias("shard"), side.alias("side"), "only", *TEXT)
 
 
 def candidates(signs: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Distinct pairs of text keys that meet in a shard and lie within the radius.
+    """Distinct pairs of text keys that some tree of a shard brings together.
 
-    A shard of more than `limit` texts is cut into blocks; each pair of blocks is a task of
-    its own (one block's tree, the other's questions), so no shard is ever held whole and
-    none is capped."""
+    No shard of more than `limit` texts is held whole, and none is capped."""
     spark = signs.sparkSession
-    rows = signs.count()
-    shards = signs.select("tid", "sim", "n", F.explode("keys").alias("shard"))
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > limit)
-    sizes = cut(sizes, "p4-large")
-    placed = shards.withColumn("side", F.lit(0))
-    if not sizes.isEmpty():
-        split = sizes.withColumn("blocks", F.ceil(F.col("size") / limit).cast("int"))
-        placed = shards.join(split, "shard", "left")
-        blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-        others = F.sequence(F.lit(0), blocks - 1)
-        placed = placed.select("tid", "sim", "n", "shard", own.alias("own"), F.explode(others).alias("other"))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        alone = F.when(F.col("own") == F.col("other"), F.col("own")).otherwise(low)
-        shard = F.when((low == 0) & (high == 0), F.col("shard")).otherwise(F.xxhash64("shard", alone, high))
-        placed = placed.select("tid", "sim", "n", shard.alias("shard"), side.alias("side"))
-    tasks = partitions(spark, rows * BANDS, 1_000_000)
-    placed = placed.select("shard", F.col("side").cast("byte").alias("side"), "tid", "sim", "n").repartition(tasks, "shard")
+    over = lambda df: df.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > limit)
+    shards = signs.select(F.explode("keys").alias("shard"), F.lit(-1).alias("only"), *TEXT)
+    large = cut(over(shards), "p4-large")
+    kinds = lambda df, side: df.select("shard", F.lit(side).alias("side") if side is not None else "side", "only", *TEXT)
+    rows = signs.count() * BANDS
+    placed = kinds(shards, 0)
+    if not large.isEmpty():
+        placed = kinds(shards.join(large, "shard", "left_anti"), 0)
+        parted = cut(halves(shards.join(large, "shard", "left_semi")), "p4-parted")
+        larger = cut(over(parted), "p4-larger")
+        placed = placed.unionByName(kinds(parted.join(larger, "shard", "left_anti"), 0)).unionByName(kinds(blocks(parted, larger, limit), None))
+        rows += parted.count()
+    tasks = partitions(spark, rows, 1_000_000)
+    placed = placed.select("shard", F.col("side").cast("byte").alias("side"), F.col("only").cast("byte").alias("only"), *TEXT).repartition(tasks, "shard")
     return placed.mapInArrow(search_shards, "a long, b long").distinct()
 
 
@@ -254,14 +347,14 @@ def links(store: DataFrame, pairs: DataFrame) -> DataFrame:
     known = cut(one.select("tid", "ids").join(asked, "tid", "left_semi").dropDuplicates(["tid"]), "near-texts")
     full = met.join(known.select(F.col("tid").alias("a"), F.col("ids").alias("ids_a")), "a")
     full = full.join(known.select(F.col("tid").alias("b"), F.col("ids").alias("ids_b")), "b")
-    return full.select("a", "b", "ids_a", "ids_b").mapInPandas(verify, "a long, b long")
+    return full.select("a", "b", "ids_a", "ids_b").mapInArrow(verify, "a long, b long")
 
 
 def text_groups(store: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     """(tid, root) for every text that is near another one."""
     weight = store.sparkSession.sparkContext.broadcast(weights(store))
     texts_once = store.where("ids is not null").select("tid", "ids")
-    signs = cut(texts_once.mapInArrow(signer(weight), "tid long, sim long, n int, keys array<long>"), "p4-signs")
+    signs = cut(texts_once.mapInArrow(signer(weight), "tid long, c0 long, c1 long, n int, keys array<long>"), "p4-signs")
     pairs = cut(candidates(signs, limit), "p4-pairs")
     return components(links(store, pairs), name="p4").select(F.col("node").alias("tid"), "root")
 
@@ -294,10 +387,12 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of records in one group, the smaller rec_id first."""
+    """Every pair of records in one group, the smaller rec_id first.
+
+    Large groups are spread: one side by a salt, the other copied to each."""
     named = group_records(_positives(spark, sf_dir)).select("rec_id", "grp")
-    many = named.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    named = named.join(many, "grp", "left_semi")
-    a = named.select("grp", F.col("rec_id").alias("rec_a"))
-    b = named.select("grp", F.col("rec_id").alias("rec_b"))
-    return a.join(b, "grp").where("rec_a < rec_b").select("rec_a", "rec_b")
+    many = named.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
+    named = named.join(many, "grp")
+    a = named.select("grp", F.pmod(F.xxhash64("rec_id"), F.col("salts")).cast("int").alias("salt"), F.col("rec_id").alias("rec_a"))
+    b = named.select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rec_id").alias("rec_b"))
+    return a.join(b, ["grp", "salt"]).where("rec_a < rec_b").select("rec_a", "rec_b")

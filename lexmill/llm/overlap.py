@@ -5,8 +5,11 @@ breaks only the segments (runs of SEGMENT words) that hold the edited word.  Eac
 its rarest segments, as many as it takes for k + 1 edits to break them all, k being the most
 edits that a near text can lie away; so one of them stays whole in every near text.  There
 it is among the posted ones too, or one of the other text's posted ones is here: both sides
-take their segments in the same order (`_places`).  The join is on the segment's hash alone,
-wherever it stands.
+take their segments in the same order (`_places`).  As sentences may stand in any order,
+every position is an allowed one, and the join is on the segment's hash alone.
+
+Both sides post alike instead of one side all its substrings: those are three to four times
+as many rows (see the README).
 
 Segments run across sentence marks, so that a mark lost or gained hides none; but only those
 inside a sentence count towards the k + 1, as sentences move.  Texts of up to SHORT words,
@@ -14,10 +17,13 @@ whose sentences may hold too few segments, post single words, and so do texts th
 one of them.  A longer text with too few segments inside its sentences (most of them of one or
 two words) counts those across marks.
 
-Two parity sketches and the number of words travel with both sides: an edited word turns at
+A posting is kept once a text, whatever number of tasks stored it.  Segments that many texts
+hold are salted: one side is spread over the salts, the other copied to each.
+
+A parity sketch and the number of words travel with both sides: an edited word turns at
 most two bits, so the bound refuses pairs in the join itself without losing any.  What is
-left is verified with banded dynamic programming (`words.near`).  Equal texts meet by their
-key and need no verification.
+left is verified with banded dynamic programming (`words.near_pairs`).  Equal texts meet by
+their key and need no verification.
 """
 
 from __future__ import annotations
@@ -39,7 +45,8 @@ ONE_IN = 8
 TRAIN, EVAL = 0, 1
 
 STORE = "rec_id long, loaded_at timestamp_ntz, role byte, kind byte, tid long, n int, h0 long, h1 long, ids array<int>"
-POSTING = "key long, tid long, p0 long, p1 long, n int"
+POSTING = "key long, tid long, p0 long, p1 long"  # p1: 32 bits of the sketch, then the number of words
+PER_SALT = 20_000  # occurrences of a segment that one task holds against the other side
 
 
 def encode_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,20 +119,34 @@ def _segments(ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return h, at, text[at]
 
 
+def _kinds(n: np.ndarray) -> tuple[tuple[int, np.ndarray], ...]:
+    """(segment size, which texts of n words post such segments)."""
+    return (SEGMENT, n > SHORT), (1, n <= int(reach(np.array([SHORT]))[0]))
+
+
+def _of_texts(some: np.ndarray, offsets: np.ndarray, *flat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Offsets and flat arrays of the texts that are meant."""
+    n = np.diff(offsets)
+    kept = np.repeat(some, n)
+    return np.concatenate(([0], np.cumsum(n[some]))), *(x[kept] for x in flat)
+
+
 def count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of segments by counter (a table of fixed size)."""
     total = np.zeros(neardup.COUNTERS, dtype=np.int64)
     for batch in batches:
         ids, offsets, _ = _run(*texts.unnest(batch.column(0)))
-        h, _, _ = _segments(ids, offsets, SEGMENT)
-        total += np.bincount((h % np.uint64(neardup.COUNTERS)).astype(np.int64), minlength=neardup.COUNTERS)
+        for size, some in _kinds(np.diff(offsets)):
+            own, flat = _of_texts(some, offsets, ids)
+            h, _, _ = _segments(flat, own, size)
+            total += np.bincount((h % np.uint64(neardup.COUNTERS)).astype(np.int64), minlength=neardup.COUNTERS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 
 
 def occurrences(store: DataFrame) -> np.ndarray:
-    """Occurrences of each counter. They only order the segments, rare ones first; any
-    numbers give the same pairs."""
+    """Occurrences of each counter. They only order the segments, rare ones first, and set
+    the salts; any numbers give the same pairs."""
     counts = store.where("ids is not null").select("ids").mapInArrow(count_segments, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # at most COUNTERS rows
     n = np.zeros(neardup.COUNTERS, dtype=np.int64)
@@ -133,13 +154,18 @@ def occurrences(store: DataFrame) -> np.ndarray:
     return np.minimum(n, np.iinfo(np.int32).max).astype(np.int32)
 
 
+SKETCH = 96  # bits: whether the number of words in each class is odd
+
+
 def parity(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, 2) int64: whether the number of words in each of 128 classes is odd."""
-    n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    of = (words.mix(ids.astype(np.uint32).astype(np.uint64) + np.uint64(0x5A5A5A5A)) % np.uint64(128)).astype(np.int64)
-    odd = (np.bincount(text * 128 + of, minlength=n * 128) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, 128), axis=1).view(np.int64).reshape(n, 2)
+    """(texts, 2) int64: SKETCH bits, then the number of words in 32 bits."""
+    n = np.diff(offsets)
+    text = np.repeat(np.arange(len(n)), n)
+    of = (words.mix(ids.astype(np.uint32).astype(np.uint64) + np.uint64(0x5A5A5A5A)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(text * SKETCH + of, minlength=len(n) * SKETCH) & 1).astype(np.uint8).reshape(len(n), SKETCH)
+    first = np.packbits(odd[:, :64], axis=1).view(np.int64).ravel()
+    second = np.packbits(odd[:, 64:], axis=1).view(np.uint32).astype(np.uint64).ravel()
+    return np.stack((first, ((second << np.uint64(32)) | n.astype(np.uint64)).view(np.int64)), axis=1)
 
 
 def _broken_by(chosen: np.ndarray, offsets: np.ndarray, size: int, most: np.ndarray) -> np.ndarray:
@@ -159,7 +185,7 @@ def _broken_by(chosen: np.ndarray, offsets: np.ndarray, size: int, most: np.ndar
     return count
 
 
-def _places(ids: np.ndarray, offsets: np.ndarray, sentence: np.ndarray, size: int, number: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, offsets: np.ndarray, sentence: np.ndarray, size: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the segments of `size` words that each text posts.
 
     By occurrences, then hash, from the rarest on: the fewest that it takes k + 1 edits to
@@ -170,7 +196,7 @@ def _places(ids: np.ndarray, offsets: np.ndarray, sentence: np.ndarray, size: in
         return h, text
     n = np.diff(offsets)
     need = edits(reach(n)) + 1
-    rare = number[(h % np.uint64(neardup.COUNTERS)).astype(np.int64)] if number is not None else np.zeros(len(h), np.int32)
+    rare = number[(h % np.uint64(neardup.COUNTERS)).astype(np.int64)]
     order = np.lexsort((h, rare, text))
     first = np.searchsorted(text, np.arange(len(n)))
     total = np.bincount(text, minlength=len(n))
@@ -198,30 +224,41 @@ def _places(ids: np.ndarray, offsets: np.ndarray, sentence: np.ndarray, size: in
     return h[fresh], text[fresh]
 
 
-def postings(number):
-    """Function for mapInArrow: (leg, tid, ids) -> POSTING. The leg is part of the key."""
+def postings(number, spread: bool):
+    """Function for mapInArrow: (leg, tid, ids) -> POSTING. The leg is part of the key.
+
+    `spread`: a row of a segment with several salts goes to one of them; else to each."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shortest = int(reach(np.array([SHORT]))[0])
+        count = number.value
+        held = count[count > 0]
+        per_salt = max(PER_SALT, 4 * int(held.mean())) if len(held) else PER_SALT
         for batch in batches:
             leg = batch.column(0).to_numpy()
             tid = batch.column(1).to_numpy()
             ids, offsets, sentence = _run(*texts.unnest(batch.column(2)))
             if not len(ids):
                 continue
-            n = np.diff(offsets)
             odd = parity(ids, offsets)
             key, of = [], []
-            for size, some in ((SEGMENT, n > SHORT), (1, n <= shortest)):
-                rows = np.flatnonzero(some)
-                kept = np.repeat(some, n)
-                h, text = _places(ids[kept], np.concatenate(([0], np.cumsum(n[rows]))), sentence[kept], size, number.value if size == SEGMENT else None)
+            for size, some in _kinds(np.diff(offsets)):
+                own, flat, marks = _of_texts(some, offsets, ids, sentence)
+                h, text = _places(flat, own, marks, size, count)
                 key.append(h)
-                of.append(rows[text])
+                of.append(np.flatnonzero(some)[text])
             key, of = np.concatenate(key), np.concatenate(of)
+            salts = -(-count[(key % np.uint64(neardup.COUNTERS)).astype(np.int64)].astype(np.int64) // per_salt)
+            salts = np.maximum(salts, 1)
             key = words.mix(key ^ (leg[of].astype(np.uint64) + np.uint64(0x1234567)))
-            arrays = [key.view(np.int64), tid[of], odd[of, 0], odd[of, 1], n[of].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "tid", "p0", "p1", "n"])
+            if spread:
+                salt = (words.mix(tid[of].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+            else:
+                salt = np.arange(int(salts.sum())) - np.repeat(np.cumsum(salts) - salts, salts)
+                key, of = np.repeat(key, salts), np.repeat(of, salts)
+            with np.errstate(over="ignore"):
+                key = key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            arrays = [key.view(np.int64), tid[of], odd[of, 0], odd[of, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "tid", "p0", "p1"])
 
     return post
 
@@ -243,11 +280,15 @@ def pair_texts(store: DataFrame) -> DataFrame:
     one = with_ids.where(f"role = {EVAL} or kind = {texts.NEGATIVE}").select(leg(F.col("role") == EVAL), "tid", "ids")
     other = with_ids.where(f"kind = {texts.POSITIVE}").select(leg(F.col("role") == TRAIN), "tid", "ids")
     number = store.sparkSession.sparkContext.broadcast(occurrences(store))
-    side = lambda df, x: df.mapInArrow(postings(number), POSTING).select("key", F.col("tid").alias(x), *[F.col(c).alias(c + x) for c in ("p0", "p1", "n")])
-    met = side(one, "a").join(side(other, "b"), "key").where("a <> b")
-    longer, apart = F.greatest("na", "nb"), F.abs(F.col("na") - F.col("nb"))
-    bits = F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))) + F.bit_count(F.col("p1a").bitwiseXOR(F.col("p1b")))
-    met = met.where(bits + apart <= 2 * F.ceil(longer / ONE_IN)).where(apart <= F.ceil(longer / ONE_IN))
+    columns = ("key", "tid", "p0", "p1")
+    # Placed by key first: one row a text is then a matter within the partition.
+    side = lambda df, x, spread: df.mapInArrow(postings(number, spread), POSTING).repartition("key").distinct().select(*[F.col(c).alias(c if c == "key" else c + x) for c in columns])
+    met = side(one, "a", False).join(side(other, "b", True), "key").where("tida <> tidb").select(F.col("tida").alias("a"), F.col("tidb").alias("b"), "p0a", "p1a", "p0b", "p1b")
+    count = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    k = F.ceil(F.greatest(count("p1a"), count("p1b")) / ONE_IN)
+    apart = F.abs(count("p1a") - count("p1b"))
+    bits = F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))) + F.bit_count(F.shiftrightunsigned(F.col("p1a").bitwiseXOR(F.col("p1b")), 32))
+    met = met.where((bits + apart <= 2 * k) & (apart <= k))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -192,45 +192,79 @@ def histogram_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs((x & 15) - (y & 15)).sum(axis=1) + np.abs((x >> 4) - (y >> 4)).sum(axis=1)
 
 
-def overlap_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Least number of words to change, add or drop, whatever the order: a lower bound
-    of the edit distance."""
-    a, b = a[a != 0], b[b != 0]
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    return max(len(a), len(b)) - int(np.minimum(ca[i], cb[j]).sum())
+def _without_marks(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = flat != 0
+    return flat[word], np.concatenate(([0], np.cumsum(word)))[offsets]
+
+
+def common_words(a: np.ndarray, oa: np.ndarray, b: np.ndarray, ob: np.ndarray) -> np.ndarray:
+    """For each pair of texts, the number of words both hold, repeated ones repeatedly."""
+
+    def counted(flat, offsets):
+        pair = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+        return np.unique((pair << np.uint64(32)) | flat.astype(np.uint32).astype(np.uint64), return_counts=True)
+
+    (ka, ca), (kb, cb) = counted(a, oa), counted(b, ob)
+    both, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    return np.bincount((both >> np.uint64(32)).astype(np.int64), weights=np.minimum(ca[i], cb[j]), minlength=len(oa) - 1).astype(np.int64)
+
+
+GROUP = 512  # pairs whose bands are filled together
+
+
+def banded_many(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
+    """Edit distance of each a[i] and b[i] where it is at most k[i], else k[i] + 1.
+
+    Dynamic program over the 2k + 1 diagonals next to the main one, row by row, for GROUP
+    pairs of like length at a time."""
+    out = np.asarray(k, dtype=np.int64) + 1
+    n, m = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    todo = np.flatnonzero(np.abs(n - m) <= k)
+    todo = todo[np.lexsort((n[todo], k[todo]))]
+    for at in range(0, len(todo), GROUP):
+        rows = todo[at : at + GROUP]
+        wide, tall = int(k[rows].max()), int(n[rows].max())
+        band = 2 * wide + 1
+        A = np.full((len(rows), tall), -2, dtype=np.int32)
+        B = np.full((len(rows), tall + band), -3, dtype=np.int32)
+        for i, r in enumerate(rows.tolist()):
+            A[i, : len(a[r])] = a[r]
+            B[i, wide : wide + len(b[r])] = b[r]
+        step = np.arange(band, dtype=np.int32)
+        row = np.where(step >= wide, step - wide, 1 << 20).astype(np.int32)[None, :].repeat(len(rows), axis=0)
+        final = m[rows] - n[rows] + wide
+        ends = n[rows]
+        out_rows = row[np.arange(len(rows)), final]
+        for i in range(1, tall + 1):
+            new = row + (A[:, i - 1 : i] != B[:, i - 1 : i - 1 + band])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            row = np.minimum.accumulate(new - step, axis=1) + step
+            done = np.flatnonzero(ends == i)
+            if len(done):
+                out_rows[done] = row[done, final[done]]
+        out[rows] = np.minimum(out_rows, k[rows] + 1)
+    return out
 
 
 def banded(a: np.ndarray, b: np.ndarray, k: int) -> int:
-    """Edit distance of two id sequences if at most k, else k + 1.
-
-    Dynamic program over the 2k + 1 diagonals next to the main one: for each number of
-    edits, the furthest row that each diagonal reaches."""
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return k + 1
-    x, y = a.tolist(), b.tolist()
-    reach = {}
-    for e in range(k + 1):
-        new = {}
-        for d in range(max(-e, -n), min(e, m) + 1):  # column - row
-            if e == 0:
-                i = 0
-            else:
-                i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-                i = min(i, n, m - d)
-            if i < 0:
-                continue
-            j = i + d
-            while i < n and j < m and x[i] == y[j]:
-                i += 1
-                j += 1
-            if i == n and j == m:
-                return e
-            new[d] = i
-        reach = new
-    return k + 1
+    """Edit distance of two id sequences if at most k, else k + 1."""
+    return int(banded_many([a], [b], np.array([k]))[0])
+
+
+def _starts(a: np.ndarray, words_b: np.ndarray) -> set[int]:
+    """Where in b the sentences of a begin, by votes of their first words."""
+    where: dict[int, list[int]] = {}
+    for j, w in enumerate(words_b.tolist()):
+        where.setdefault(w, []).append(j)
+    out = set()
+    for s in sentences_of(a):
+        votes: dict[int, int] = {}
+        for i, w in enumerate(s[:8].tolist()):
+            for j in where.get(w, ()):
+                votes[j - i] = votes.get(j - i, 0) + 1
+        if votes:
+            out.add(max(0, max(votes, key=lambda d: (votes[d], -d))))
+    return out
 
 
 def sentences_of(a: np.ndarray) -> list[np.ndarray]:
@@ -239,40 +273,57 @@ def sentences_of(a: np.ndarray) -> list[np.ndarray]:
 
 
 def in_order_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """b with its sentences in the order in which a has the sentences most like them."""
-    sa, sb = sentences_of(a), sentences_of(b)
-    sets = [set(s.tolist()) for s in sa]
-    placed = []
-    for j, s in enumerate(sb):
-        own = set(s.tolist())
-        best = max(range(len(sets)), key=lambda i: (len(own & sets[i]), -abs(i - j))) if sets else 0
-        placed.append((best, j))
-    return np.concatenate([sb[j] for _, j in sorted(placed)]) if sb else b[:0]
-
+    """The words of b, its sentences in the order of a's.
 
-def near(a: np.ndarray, b: np.ndarray, one_in: int = 8) -> bool:
-    """At most about one word in `one_in` changed, added or dropped, sentence order apart.
+    b is parted at its own sentence marks and, as marks get lost, where a's sentences begin
+    in it.  Each part, the longest first, is matched with the place in a that most of its
+    words agree with; a word of a is matched once, so repeated sentences find a place each."""
+    wa, wb = a[a != 0], b[b != 0]
+    own = np.cumsum([len(s) for s in sentences_of(b)]).tolist()
+    cuts = sorted({0, len(wb), *own, *(p for p in _starts(a, wb) if p < len(wb))})
+    where: dict[int, list[int]] = {}
+    for j, w in enumerate(wa.tolist()):
+        where.setdefault(w, []).append(j)
+    free = np.ones(len(wa), dtype=bool)
+    placed = []
+    for x, y in sorted(zip(cuts, cuts[1:]), key=lambda c: (c[0] - c[1], c[0])):
+        votes: dict[int, int] = {}
+        for i, w in enumerate(wb[x:y].tolist()):
+            for j in where.get(w, ()):
+                if free[j]:
+                    votes[j - i] = votes.get(j - i, 0) + 1
+        at = max(votes, key=lambda d: (votes[d], -abs(d - x))) if votes else x
+        free[max(0, at) : max(0, at + y - x)] = False
+        placed.append((at, x, y))
+    return np.concatenate([wb[x:y] for _, x, y in sorted(placed)]) if placed else wb
+
+
+def near_pairs(a: np.ndarray, oa: np.ndarray, b: np.ndarray, ob: np.ndarray, one_in: int = 8) -> np.ndarray:
+    """Which pairs of texts (ids with sentence marks, and offsets) are near: at most about one
+    word in `one_in` changed, added or dropped, sentence order apart.
 
     The bound of a pair is ceil(longer / one_in) words, none for texts of fewer than `one_in`
     words.  Texts without words are near nothing."""
-    wa, wb = a[a != 0], b[b != 0]
-    longer = max(len(wa), len(wb))
-    if not min(len(wa), len(wb)):
-        return False
-    k = -(-longer // one_in) if longer >= one_in else 0
-    if abs(len(wa) - len(wb)) > k or overlap_distance(wa, wb) > k:
-        return False
-    if banded(wa, wb, k) <= k:
-        return True
-    if banded(wa, in_order_of(a, b), k) <= k or banded(in_order_of(b, a), wb, k) <= k:
-        return True
-    # A sentence mark lost or gained hides where the moved parts begin: an edit breaks two
-    # neighbouring word pairs, a moved sentence two more.
-    moved = 2 * (int((a == 0).sum()) + int((b == 0).sum()) + 2)
-    return overlap_distance(_neighbours(wa), _neighbours(wb)) <= 2 * k + moved and longer > 2 * moved
-
-
-def _neighbours(a: np.ndarray) -> np.ndarray:
-    """Each word joined with the next; never 0."""
-    a = a.astype(np.int64)
-    return (a[:-1] * np.int64(1_000_003)) ^ (a[1:] << np.int64(1)) | np.int64(1)
+    (wa, owa), (wb, owb) = _without_marks(a, oa), _without_marks(b, ob)
+    na, nb = np.diff(owa), np.diff(owb)
+    longer = np.maximum(na, nb)
+    k = np.where(longer >= one_in, -(-longer // one_in), 0)
+    ok = (np.minimum(na, nb) > 0) & (np.abs(na - nb) <= k) & (longer - common_words(wa, owa, wb, owb) <= k)
+    rows = np.flatnonzero(ok)
+    x = [wa[owa[r] : owa[r + 1]] for r in rows.tolist()]
+    y = [wb[owb[r] : owb[r + 1]] for r in rows.tolist()]
+    hit = banded_many(x, y, k[rows]) <= k[rows]
+    for turned in (False, True):  # b in a's order, then a in b's
+        left = np.flatnonzero(~hit)
+        if len(left):
+            full = [(a[oa[r] : oa[r + 1]], b[ob[r] : ob[r + 1]]) for r in rows[left].tolist()]
+            own = [y[i] if turned else x[i] for i in left.tolist()]
+            other = [in_order_of(q, p) if turned else in_order_of(p, q) for p, q in full]
+            hit[left] = banded_many(own, other, k[rows[left]]) <= k[rows[left]]
+    ok[rows] = hit
+    return ok
+
+
+def near(a: np.ndarray, b: np.ndarray, one_in: int = 8) -> bool:
+    """`near_pairs` for one pair."""
+    return bool(near_pairs(a, np.array([0, len(a)]), b, np.array([0, len(b)]), one_in)[0])

@@ -74,6 +74,42 @@ def test_near_bounds_and_order():
     assert not words.near(e(""), e(""))
 
 
+def test_shuffled_words_are_not_moved_sentences():
+    """Words shuffled inside eight of ten sentences: far over the edits allowed."""
+    ids, rng = words.new_ids(), random.Random(2)
+    said = [[f"w{i}x{j}" for j in range(10)] for i in range(10)]
+    mixed = [rng.sample(s, 10) if i < 8 else s for i, s in enumerate(said)]
+    e = lambda t: words.encode(" ".join(" ".join(s) + "." for s in t), ids)
+    assert not words.near(e(said), e(mixed)) and words.near(e(said), e(said[5:] + said[:5]))
+
+
+def test_moved_sentences_with_lost_and_gained_marks():
+    ids = words.new_ids()
+    for _ in range(60):
+        s = [sentence(RNG.randint(6, 16)) for _ in range(6)]
+        a, b = " ".join(s), " ".join(s[k] for k in (3, 0, 4, 1, 2, 5))
+        lost = RNG.choice([". ", "! "]).join(b.split(". ")[:3]) + " " + " ".join(b.split(". ")[3:])
+        for x, y in ((a, b), (a, edited(b, 3)), (a, lost), (lost, a)):
+            assert words.near(words.encode(x, ids), words.encode(y, ids))
+
+
+def test_a_repeated_sentence_finds_its_own_place():
+    ids = words.new_ids()
+    s = [sentence(12) for _ in range(3)]
+    e = lambda *k: words.encode(" ".join(s[i] for i in k), ids)
+    assert words.near(e(0, 1, 0, 2), e(0, 0, 1, 2)) and not words.near(e(0, 1, 0, 2), e(0, 1, 1, 2))
+
+
+def test_pairs_agree_with_single_calls():
+    ids = words.new_ids()
+    t = [passage() for _ in range(6)] + ["", "one", "one two"]
+    t += [edited(t[0], 3), moved(t[1]), edited(t[2], 20)]
+    pairs = [(x, y) for x in t for y in t]
+    a, b = (words.encode_batch([p[i] for p in pairs], ids) for i in (0, 1))
+    got = words.near_pairs(*a, *b)
+    assert got.tolist() == [words.near(words.encode(x, ids), words.encode(y, ids)) for x, y in pairs]
+
+
 def test_histograms_never_refuse_near_texts():
     ids = words.new_ids()
     for _ in range(50):
@@ -83,16 +119,48 @@ def test_histograms_never_refuse_near_texts():
         assert words.histogram_distance(h[:1], h[1:])[0] <= 2 * 7
 
 
-def test_bk_tree_finds_what_a_scan_finds():
-    values = [RNG.getrandbits(64) for _ in range(300)]
-    values += [v ^ (1 << RNG.randrange(64)) for v in values[:50]]
-    tree = neardup.BKTree()
-    for i, v in enumerate(values):
-        tree.add(v, i)
-    for v in values[:40]:
-        want = {i for i, u in enumerate(values) if (u ^ v).bit_count() <= 12}
-        assert set(tree.near(v, 12)) == want
-    assert list(neardup.BKTree().near(1, 64)) == []
+def test_bk_trees_find_what_a_scan_finds():
+    rng = np.random.default_rng(1)
+    tree = np.repeat(np.arange(6), [1, 5, 40, 300, 0, 900])
+    value = rng.integers(0, 1 << 16, len(tree))
+    value[50:60] = value[40:50] ^ 4
+    known = np.unique(tree << 16 | value)
+    for radius in (0, 1, 3):
+        trees = neardup.BKTrees(known >> 16, known & 0xFFFF)
+        asked_tree, asked = np.append(tree, [4, 9]), np.append(value, [1, 2])
+        q, node = trees.near(asked_tree, asked, radius)
+        got = set(zip(q.tolist(), known[node].tolist()))
+        want = {(i, int(k)) for i, (t, v) in enumerate(zip(asked_tree, asked)) for k in known if k >> 16 == t and int(k & 0xFFFF ^ v).bit_count() <= radius}
+        assert got == want
+    empty = neardup.BKTrees(known[:0], known[:0])
+    assert len(empty.near(tree, value, 3)[0]) == 0
+
+
+def test_bk_trees_visit_a_small_share():
+    value = np.unique(np.random.default_rng(2).integers(0, 1 << 16, 2000))
+    trees = neardup.BKTrees(np.zeros(len(value), np.int64), value)
+    trees.near(np.zeros(len(value), np.int64), value, neardup.RADIUS)
+    assert trees.visited < 0.2 * len(value) ** 2
+
+
+def test_tree_pairs_are_those_of_all_pieces():
+    rng = np.random.default_rng(3)
+    n = 400
+    codes = rng.integers(-(1 << 62), 1 << 62, (n, 2))
+    for i in range(0, n, 2):  # partners with 12 of 128 bits turned
+        turned = rng.choice(128, 12, replace=False)
+        codes[i + 1] = codes[i] ^ np.array([sum(1 << int(b) for b in turned if b < 62), sum(1 << int(b - 64) for b in turned if 64 <= b < 126)])
+    shard, tid, size = np.arange(n) // 100, rng.permutation(n), np.full(n, 40)
+    piece = neardup.pieces_of(codes)
+    want = set()
+    for i in range(n):
+        for j in range(n):
+            far = neardup.distance(codes[i : i + 1, 0], codes[j : j + 1, 0])[0] + neardup.distance(codes[i : i + 1, 1], codes[j : j + 1, 1])[0]
+            if shard[i] == shard[j] and tid[i] < tid[j] and far <= neardup.FAR and any(int(x ^ y).bit_count() <= 1 for x, y in zip(piece[i].tolist(), piece[j].tolist())):
+                want.add((tid[i], tid[j]))
+    none = np.full(n, -1)
+    got, _ = neardup.tree_pairs(shard, np.zeros(n, int), none, tid, codes, size)
+    assert set(map(tuple, got.tolist())) == want and len(want) > 190
 
 
 def group_texts():
@@ -169,7 +237,7 @@ def test_posted_segments_meet_at_the_edit_bound():
 
     def post(a):
         batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([1]), pa.array([a.tolist()], pa.list_(pa.int32()))], names=["leg", "tid", "ids"])
-        return list(overlap.postings(number)(iter([batch])))[0].to_pydict()
+        return list(overlap.postings(number, True)(iter([batch])))[0].to_pydict()
 
     checked = 0
     for length in [*range(1, 60), 90, 160]:
@@ -188,12 +256,55 @@ def test_posted_segments_meet_at_the_edit_bound():
                 continue
             pa_, pb = post(a), post(b)
             k = -(-max(size(a), size(b)) // 8)
-            bits = sum(((x[0] ^ y[0]) & ((1 << 64) - 1)).bit_count() for x, y in ((pa_["p0"], pb["p0"]), (pa_["p1"], pb["p1"])))
+            x, y = ([p[c][0] & (1 << 64) - 1 for c in ("p0", "p1")] for p in (pa_, pb))
+            assert x[1] & 0xFFFFFFFF == size(a) and y[1] & 0xFFFFFFFF == size(b)
+            bits = (x[0] ^ y[0]).bit_count() + (x[1] >> 32 ^ y[1] >> 32).bit_count()
             assert set(pa_["key"]) & set(pb["key"]) and bits + abs(size(a) - size(b)) <= 2 * k
             checked += 1
     assert checked > 200
 
 
+@pytest.mark.parametrize("length,k", [(16, 2), (24, 3), (40, 5)])
+def test_every_edit_allowed_keeps_a_shared_segment(length, k):
+    """One edit every eight words, wherever they start: the pair still meets."""
+    ids = words.new_ids()
+    number = type("Shared", (), {"value": np.zeros(neardup.COUNTERS, np.int32)})
+    a = [f"t{i}" for i in range(length)]
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([1]), pa.array([words.encode(" ".join(t), ids).tolist()], pa.list_(pa.int32()))], names=["leg", "tid", "ids"])
+    post = lambda t: set(list(overlap.postings(number, True)(iter([batch(t)])))[0].column(0).to_pylist())
+    for shift in range(length):
+        b = list(a)
+        for e in range(k):
+            b[(shift + e * length // k) % length] = f"new{e}"
+        assert words.near(words.encode(" ".join(a), ids), words.encode(" ".join(b), ids))
+        assert post(a) & post(b)
+
+
+def test_hot_segments_are_salted_without_losing_a_pair(spark, monkeypatch):
+    """Every text shares its beginning; the few rows a salt may hold spread it."""
+    stock = sentence(14)
+    rows = [(i, overlap.TRAIN if i % 4 else overlap.EVAL, f"{stock} {passage(1)}", [stock]) for i in range(40)]
+    rows += [(100, overlap.EVAL, rows[1][2], None), (101, overlap.EVAL, edited(rows[2][2], 2), [stock])]
+    plain = {tuple(r) for r in overlap.record_pairs(store(spark, rows)).collect()}
+    make, before = overlap.postings, []
+
+    def salted(number, spread):
+        class Low:
+            value = number.value
+
+        def post(batches):
+            overlap.PER_SALT = 0
+            Low.value = np.where(number.value > 10, number.value, 1)
+            before.append(1)
+            return make(Low, spread)(batches)
+
+        return post
+
+    monkeypatch.setattr(overlap, "postings", salted)
+    got = {tuple(r) for r in overlap.record_pairs(store(spark, rows)).collect()}
+    assert got == plain and {(1, 100), (2, 101)} <= got
+
+
 def leak_tables(spark):
     q = "Does the " + " ".join(RNG.choice(VOCABULARY) for _ in range(22)) + "?"
     p = " ".join(sentence(15) for _ in range(6))
