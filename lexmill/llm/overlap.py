@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import neardup, texts, words
-from lexmill.session import cut
+from lexmill.session import cut, partitions
 from lexmill.tables import read
 
 SEGMENT = 3
@@ -46,6 +46,7 @@ TRAIN, EVAL = 0, 1
 
 STORE = "rec_id long, loaded_at timestamp_ntz, role byte, kind byte, tid long, n int, h0 long, h1 long, ids array<int>"
 POSTING = "key long, tid long, p0 long, p1 long"  # p1: 32 bits of the sketch, then the number of words
+PER_TASK = 1_500_000  # words of texts whose postings one task joins: about 500,000 of each
 PER_SALT = 20_000  # occurrences of a segment that one task holds against the other side
 
 
@@ -282,7 +283,8 @@ def pair_texts(store: DataFrame) -> DataFrame:
     number = store.sparkSession.sparkContext.broadcast(occurrences(store))
     columns = ("key", "tid", "p0", "p1")
     # Placed by key first: one row a text is then a matter within the partition.
-    side = lambda df, x, spread: df.mapInArrow(postings(number, spread), POSTING).repartition("key").distinct().select(*[F.col(c).alias(c if c == "key" else c + x) for c in columns])
+    tasks = partitions(store.sparkSession, store.where("ids is not null").agg(F.sum("n")).first()[0] or 0, PER_TASK)
+    side = lambda df, x, spread: df.mapInArrow(postings(number, spread), POSTING).repartition(tasks, "key").distinct().select(*[F.col(c).alias(c if c == "key" else c + x) for c in columns])
     met = side(one, "a", False).join(side(other, "b", True), "key").where("tida <> tidb").select(F.col("tida").alias("a"), F.col("tidb").alias("b"), "p0a", "p1a", "p0b", "p1b")
     count = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     k = F.ceil(F.greatest(count("p1a"), count("p1b")) / ONE_IN)
