@@ -333,11 +333,62 @@ def test_alignment_against_plain_smith_waterman():
         for x in range(1, len(a) + 1):
             for y in range(1, len(b) + 1):
                 h[x, y] = max(0, h[x - 1, y - 1] + (leaks.MATCH if a[x - 1] == b[y - 1] else -leaks.MISS), h[x - 1, y] - leaks.GAP, h[x, y - 1] - leaks.GAP)
-        first, end, equal = leaks.align([a, a[:1]], [b, b[:1]])
-        if h.max():
-            assert h[end[0]].max() == h.max() and 0 <= first[0] < end[0] and equal[0] >= 1
-        else:
-            assert equal[0] == 0
+        assert leaks.align([a, a[:1]], [b, b[:1]])[0] == h.max()
+
+
+def test_stretches_against_all_pairs_of_stretches():
+    for _ in range(40):
+        a = np.array([RNG.randint(1, 3) for _ in range(RNG.randint(1, 8))])
+        b = np.array([RNG.randint(1, 3) for _ in range(RNG.randint(1, 8))])
+        for e in (0, 1, 2):
+            want = max((y - x for x in range(len(a)) for y in range(x + 1, len(a) + 1) for u in range(len(b) + 1) for v in range(u, len(b) + 1) if levenshtein(a[x:y].tolist(), b[u:v].tolist()) <= e), default=0)
+            length, end = leaks.stretches([a], [b], e)
+            assert length[0] == want and (not want or 0 <= end[0] - length[0] < end[0] <= len(a))
+
+
+def leaked(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp"))
+    i = spark.createDataFrame([(k, *x) for k, x in enumerate(items)], "item_id long, query string, positive string")
+    return {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).collect()}
+
+
+def test_short_items_are_found_and_edits_in_the_middle_do_not_hide_them(spark):
+    items, docs, want = [], [], set()
+    for n in range(1, 15):
+        w = [f"u{n}x{j}" for j in range(n)]
+        items.append((" ".join(w), None))
+        docs.append(f"{passage(1)} {' '.join(w)} {passage(1)}")
+        want.add((len(docs) - 1, n - 1))
+        for k in range(n if n >= leaks.SHORTEST else 0):  # one edit, at every place
+            docs.append(f"{passage(1)} {' '.join(['other' if j == k else x for j, x in enumerate(w)])} {passage(1)}")
+            want.add((len(docs) - 1, n - 1))
+    assert leaked(spark, docs, items) == want
+
+
+def test_a_stretch_inside_a_looser_passage_counts(spark):
+    p = [f"v{j}" for j in range(85)]
+    loose = [x if j < 25 or j % 3 else f"z{j}" for j, x in enumerate(p)]
+    spread = [x if j % 25 not in (3, 9, 15) else "" for j, x in enumerate(p)]
+    assert leaked(spark, [" ".join(loose), " ".join(loose[30:]), " ".join(spread)], [(None, " ".join(p))]) == {(0, 0), (2, 0)}
+
+
+def test_every_place_of_three_edits_in_a_stretch(spark):
+    p, docs = [f"s{j}" for j in range(60)], []
+    for _ in range(120):
+        at = RNG.randint(0, 35)
+        w = p[at : at + 25]
+        for k in RNG.sample(range(25), 3):
+            w[k] = RNG.choice(["", f"new{k}", f"{w[k]} more{k}"])
+        docs.append(f"{passage(1)} {' '.join(w)} {passage(1)}")
+    assert leaked(spark, docs, [(None, " ".join(p))]) == {(k, 0) for k in range(120)}
+
+
+def test_very_long_items_and_windows(spark):
+    p = [f"t{j}" for j in range(70_000)]
+    docs = [" ".join(p[69_000:69_025]), " ".join(p[500:530]), " ".join(p[40_000:40_020])]
+    assert leaked(spark, docs, [(None, " ".join(p))]) == {(0, 0), (1, 0)}
+    q = "again and again " * 40
+    assert leaked(spark, [q * 50, "again and"], [(q, None)]) == {(0, 0)}
 
 
 def test_stored_once_per_side():
