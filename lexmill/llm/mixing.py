@@ -85,7 +85,13 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents with null or unknown source, or no tokens, are never taken; each row counts at
     most max_repeat times a source; tables without rows give none."""
-    rows, sources, _, patterns, _, flows, _ = _planned(spark, sf_dir)
+    rows, _, _, patterns, _, flows, _ = plan = _planned(spark, sf_dir)
+    return _mix(spark, rows, plan[1], patterns, flows)
+
+
+def _mix(spark: SparkSession, rows: DataFrame, sources, patterns: dict[int, int], flows: dict) -> DataFrame:
+    """Every source takes its stretch of each pattern's laps: the copies whose middle lies in
+    it, which is the flow's quota to within half a document at either end."""
     stretches = []
     for p, held in patterns.items():
         at = 0
@@ -97,9 +103,9 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.createDataFrame(stretches, "pattern long, taken_for string, lo long, hi long, held long, laps long")
     laps = parts.groupBy("pattern").agg(F.max("held").alias("held"), F.max("laps").alias("laps"))
     line = running(rows.where("pattern > 0 and tokens > 0").withColumn("_d", lot(SEED, "doc_id")), ["pattern"], "_d", ["doc_id"], F.col("tokens").cast("long"))
-    line = line.join(F.broadcast(laps), "pattern").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("laps") - 1)))
+    line = line.join(laps, "pattern").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("laps") - 1)))
     middle = F.col("lap") * F.col("held") + F.col("_upto") - F.col("tokens") / 2
-    taken = line.withColumn("middle", middle).drop("held", "laps").join(F.broadcast(parts.drop("held", "laps")), "pattern").where("middle >= lo and middle < hi")
+    taken = line.withColumn("middle", middle).drop("held", "laps").join(parts.drop("held", "laps"), "pattern").where("middle >= lo and middle < hi")
     return taken.groupBy("doc_id", F.col("taken_for").alias("source")).agg(F.count("*").alias("repeats"), F.max("tokens").alias("tokens"))
 
 
@@ -115,21 +121,20 @@ def lacking(own: dict[str, int], sources: list[tuple[str, float, int]], total: i
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: target share, tokens held once and at most, quota, missing, tokens and
-    share it really gets."""
-    _, sources, total, _, own, flows, missing = _planned(spark, sf_dir)
+    """Per source: target share, tokens held once and at most, quota, tokens the flow could not
+    find, and the copies, tokens and share that the drawn mix (`p8_mix`) really gives it."""
+    rows, sources, total, patterns, own, flows, missing = _planned(spark, sf_dir)
     short = lacking(own, sources, total)
-    got = {name: sum(n for (_, j), n in flows.items() if j == k) for k, (name, _, _) in enumerate(sources)}
-    whole = sum(got.values())
-    out = []
-    for name, share, repeat in sources:
-        most = own[name] * repeat
-        out.append((name, share, repeat, own[name], most, round(share * total), missing[name], got[name], got[name] / whole if whole else 0.0, name in short))
-    return spark.createDataFrame(
-        out, "source string, target_share double, max_repeat int, held long, at_most long, quota long, missing long, tokens long, share double, short boolean"
-    )
+    out = [(name, share, repeat, own[name], own[name] * repeat, round(share * total), missing[name], name in short) for name, share, repeat in sources]
+    kinds = "source string, target_share double, max_repeat int, held long, at_most long, quota long, missing long, short boolean"
+    drawn = _mix(spark, rows, sources, patterns, flows).groupBy("source").agg(F.sum("repeats").alias("copies"), F.sum(F.col("repeats") * F.col("tokens")).alias("tokens"))
+    drawn = cut(drawn, "p8-drawn")  # a row a source
+    whole = drawn.agg(F.sum("tokens")).first()[0] or 0
+    told = spark.createDataFrame(out, kinds).join(drawn, "source", "left").fillna({"copies": 0, "tokens": 0})
+    return told.withColumn("share", F.when(F.lit(whole) > 0, F.col("tokens") / F.lit(max(whole, 1))).otherwise(0.0))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources whose documents, each taken max_repeat times, stay below their quota."""
-    return p8_shares(spark, sf_dir).where("short").select("source")
+    _, sources, total, _, own, _, _ = _planned(spark, sf_dir)
+    return spark.createDataFrame([(name,) for name in sorted(lacking(own, sources, total))], "source string")

@@ -2,10 +2,10 @@
 
 Sentence vectors are summed into blocks that slide along the text; where the likeness of
 the blocks on both sides has a valley, the topic changes.  Words are taken with their vowel
-signs; scripts without blanks between words give pairs of characters.  Each piece ends at the deepest
-valley of its size window; the next begins at a word, at least OVERLAP tokens earlier.
-Without a sentence end in the window the last word end serves, without that the last
-character end.
+signs; scripts without blanks are parted into words by the dictionary lattice.  Each piece
+ends at the deepest valley of its size window; the next begins at a word, at least OVERLAP
+tokens earlier.  Without a sentence end in the window the last word end serves, without that
+the last character end.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,52 +21,85 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import lattice
 from lexmill.llm import tokens as T
 from lexmill.tables import read
 
 LIMIT, OVERLAP = 1024, 64
 BLOCK = 4  # sentences on each side of a gap
-DIMS = 128  # hashed words of a sentence vector
+DIMS = 256  # hashed words of a sentence vector
 _GAP = re.compile("(?<=[.!?।؟…\"')\\]”»:;])(?=\\s+\\S)|(?<=[。！？」』])(?=\\S)|(?<=\\S)(?=[ \\t]*\\r?\\n\\s*\\S)")
 _SPACE = re.compile(r"(?<=\S)(?=\s)")
-_WORD = re.compile(r"\w+")
-_INDIC = re.compile("[\u0900-\u0dff]")
-_SPACELESS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002ffff]+")
-_OTHER = re.compile(f"{_INDIC.pattern}|{_SPACELESS.pattern}")
+_THAI_SPACE = re.compile("(?<=[฀-໿က-႟ក-៿])(?=\\s+\\S)")
+_PLAIN = re.compile("[a-z0-9]{2,}")
+_INDIC = re.compile("[ऀ-෿]")
+_OTHER = re.compile(f"{_INDIC.pattern}|{lattice.RUN.pattern}")
 _MARKED = re.compile("[\\w" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M") + "]+")
+# Words too common to tell one topic from another (fixed values): English function words.
+_COMMON = set("the of and to in or any for by be that as is on with this shall such not it an at from all may will its are if has have which other no each".split())
 
 
-def _terms(low: str, start: int, end: int) -> list[str]:
-    """What stands for words in a stretch with Indic or spaceless scripts: whole Indic words,
-    vowel signs included, of any length; pairs of neighbouring characters where no blanks
-    part words; words of more than 3 characters elsewhere."""
+class Dims(dict):
+    """word -> place in a sentence vector, remembered within a worker up to a bound; -1 for
+    words that say nothing."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        at = -1 if word in _COMMON else xxhash.xxh32_intdigest(word) % DIMS
+        self[word] = at
+        return at
+
+
+_DIMS = Dims()
+
+
+def _terms(low: str, start: int, end: int, known) -> list[str]:
+    """The words of a stretch with Indic or spaceless scripts: Indic words with their vowel
+    signs, lattice words of more than a letter (a letter where there is no more)."""
     out = []
     for w in _MARKED.findall(low, start, end):
         if not _OTHER.search(w):
-            out += [w] if len(w) > 3 else []
+            out += [w] if len(w) > 1 else []
             continue
-        out += [run[i : i + 2] for run in _SPACELESS.findall(w) for i in range(max(1, len(run) - 1))]
-        out += [x for x in _SPACELESS.split(w) if len(x) > 3 or _INDIC.search(x)]
+        at = 0
+        for m in lattice.RUN.finditer(w):
+            out += [w[at : m.start()]] if m.start() - at > 1 else []
+            run = m.group()
+            for a, b, sure in lattice.words(run, known):
+                if sure:
+                    out.append(run[a:b])
+                else:  # what no dictionary holds is compared by pairs of letters
+                    out += [run[i : i + 2] for i in range(a, max(a + 1, b - 1))]
+            at = m.end()
+        out += [w[at:]] if len(w) - at > 1 or _INDIC.search(w[at:]) else []
     return out
 
 
-def valleys(text: str, gaps: list[int]) -> np.ndarray:
-    """Depth of the cohesion valley at each gap (character positions between sentences)."""
+def valleys(text: str, gaps: list[int], known=None) -> np.ndarray:
+    """Depth of the cohesion valley at each gap (character positions between sentences).
+
+    `known`: a `lattice.dictionary` for spaceless scripts; the default one when None."""
     ends = [0, *gaps, len(text)]
-    rows = np.zeros((len(ends) - 1, DIMS))
     low = text.lower()
+    if len(low) != len(text):  # a few letters change their number in lower case
+        low = text
     other = _OTHER.search(low)
-    for i in range(len(ends) - 1):
-        found = _terms(low, ends[i], ends[i + 1]) if other else [w for w in _WORD.findall(low, ends[i], ends[i + 1]) if len(w) > 3]
-        if found:
-            at = [xxhash.xxh32_intdigest(w) % DIMS for w in found]
-            np.add.at(rows[i], at, 1.0)
-    total = np.concatenate((np.zeros((1, DIMS)), np.cumsum(rows, axis=0)))
+    if other and known is None:
+        known = lattice.dictionary(*lattice.paths())
+    plain = _PLAIN if low.isascii() else _MARKED
+    found = [_terms(low, a, b, known) if other else plain.findall(low, a, b) for a, b in zip(ends, ends[1:])]
+    at = np.fromiter(map(_DIMS.__getitem__, chain.from_iterable(found)), dtype=np.int64)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    rows = np.bincount(row[at >= 0] * DIMS + at[at >= 0], minlength=len(found) * DIMS).reshape(len(found), DIMS).astype(np.float32)
+    total = np.concatenate((np.zeros((1, DIMS), np.float32), np.cumsum(rows, axis=0)))
     g = np.arange(1, len(ends) - 1)
     left = total[g] - total[np.maximum(g - BLOCK, 0)]
     right = total[np.minimum(g + BLOCK, len(rows))] - total[g]
-    norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-    like = np.divide((left * right).sum(1), norm, out=np.zeros(len(g)), where=norm > 0)
+    norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
+    like = np.divide(np.einsum("ij,ij->i", left, right), norm, out=np.zeros(len(g)), where=norm > 0)
     return _climb(like) + _climb(like[::-1])[::-1] - 2 * like
 
 
@@ -78,48 +112,60 @@ def _climb(like: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_text(enc, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+def _places(pattern: re.Pattern, text: str) -> np.ndarray:
+    return np.fromiter((m.start() for m in pattern.finditer(text)), dtype=np.int64)
+
+
+def cut_text(enc, text: str, limit: int = LIMIT, overlap: int = OVERLAP, known=None) -> list[tuple[int, int, int, int]]:
     """[(char_start, char_end, tokens, tokens shared with the piece before)]; one piece for a
-    text within the limit, none for an empty one. Pieces cover the text without a gap."""
+    text within the limit, none for an empty one. Pieces cover the text without a gap.
+
+    Pieces are within the limit unless one character alone is larger. Neighbours share at
+    least `overlap` tokens, or fewer where the piece before holds no more characters."""
     if not text:
         return []
-    toks = T.encode(enc, text)
+    toks = T.encode_array(enc, text)
     if len(toks) <= limit:
         return [(0, len(text), len(toks), 0)]
-    raw = T.clean(text) if not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text) else text
-    sizes = np.fromiter((len(enc.decode_single_token_bytes(t)) for t in toks), dtype=np.int64, count=len(toks))
-    byte_at = np.concatenate(([0], np.cumsum(sizes)))  # byte position before each token
+    byte_at = np.concatenate(([0], np.cumsum(T.byte_lengths(enc)[toks])))  # byte position before each token
     if text.isascii():
-        char_of = None
-    else:
-        lead = (np.frombuffer(raw.encode("utf-8"), dtype=np.uint8) & 0xC0) != 0x80
-        char_of = np.concatenate(([0], np.cumsum(lead)))  # characters begun before each byte
-        is_start = np.concatenate((lead, [True]))
-    if char_of is None:
         tok_char, whole = byte_at, np.ones(len(byte_at), dtype=bool)
     else:
-        tok_char, whole = char_of[byte_at], is_start[byte_at]
-    index = {int(c): i for i, (c, ok) in enumerate(zip(tok_char.tolist(), whole.tolist())) if ok}
-    gaps = sorted({m.start() for m in _GAP.finditer(text)} & index.keys() - {0, len(text)})
-    depth = valleys(text, gaps) if gaps else np.zeros(0)
-    gap_tok = np.array([index[g] for g in gaps], dtype=np.int64)
-    word_tok = np.array([index[m.start()] for m in _SPACE.finditer(text) if m.start() in index], dtype=np.int64)
-    clean = set(word_tok.tolist())  # cuts before a blank: both sides keep their tokens
-    char_tok = np.flatnonzero(whole)
+        lead = (np.frombuffer(T.as_utf8(text), dtype=np.uint8) & 0xC0) != 0x80
+        char_of = np.concatenate(([0], np.cumsum(lead)))  # characters begun before each byte
+        tok_char, whole = char_of[byte_at], np.concatenate((lead, [True]))[byte_at]
+    char_tok = np.flatnonzero(whole)  # token bounds that part characters
+    starts = tok_char[char_tok]
+
+    def bounds(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the character positions that lie at a token bound, and their tokens."""
+        k = np.minimum(np.searchsorted(starts, places), len(starts) - 1)
+        hit = starts[k] == places
+        return places[hit], char_tok[k[hit]]
+
+    places = _places(_GAP, text)
+    if _THAI_SPACE.search(text):
+        places = np.union1d(places, _places(_THAI_SPACE, text))
+    gaps, gap_tok = bounds(places[(places > 0) & (places < len(text))])
+    depth = valleys(text, gaps.tolist(), known) if len(gaps) else np.zeros(0)
+    _, word_tok = bounds(_places(_SPACE, text))
+    clean = np.zeros(len(toks) + 1, dtype=bool)  # cuts before a blank: both sides keep their tokens
+    clean[word_tok] = True
 
     def last_in(a: np.ndarray, low: int, high: int) -> int | None:
         i = int(np.searchsorted(a, high, side="right")) - 1
         return int(a[i]) if i >= 0 and a[i] > low else None
 
     def size_of(a: int, b: int) -> int:
-        if (a == 0 or a in clean) and (b == len(toks) or b in clean):
+        if (a == 0 or clean[a]) and (b == len(toks) or clean[b]):
             return b - a
-        return len(T.encode(enc, text[int(tok_char[a]) : int(tok_char[b])]))
+        return len(T.encode_array(enc, text[int(tok_char[a]) : int(tok_char[b])]))
 
     out, start, done, shared = [], 0, 0, 0
     while True:
         room = limit
         while True:
+            least = int(char_tok[np.searchsorted(char_tok, done, side="right")])  # one character more
             if len(toks) - start <= room:
                 end = len(toks)
             else:
@@ -128,31 +174,42 @@ def cut_text(enc, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list
                 if j > i:
                     end = int(gap_tok[i:j][np.lexsort((gap_tok[i:j], depth[i:j]))[-1]])
                 else:
-                    end = last_in(word_tok, low, high) or last_in(char_tok, done, high) or int(char_tok[np.searchsorted(char_tok, done, side="right")])
+                    end = last_in(word_tok, low, high) or last_in(char_tok, done, high) or least
             n = size_of(start, end)
-            if n <= limit or room <= limit // 4:
+            if n <= limit:
+                break
+            if end > least:
+                room = min(room, end - start) - max(1, n - limit)
+                continue
+            # Not even one more character fits: the overlap gives way, a character at a time.
+            later = int(char_tok[np.searchsorted(char_tok, start, side="right")])
+            if later > done:
                 break
-            room -= max(1, n - limit)
+            start, shared, room = later, done - later, limit
         out.append((int(tok_char[start]), int(tok_char[end]), n, shared))
         if end == len(toks):
             return out
         done = end
-        back = last_in(word_tok, start, end - overlap) if overlap else end
-        if back is None or end - back > 2 * overlap:
-            back = last_in(char_tok, start, end - overlap) or end
+        back = end
+        if overlap:
+            back = last_in(word_tok, start, end - overlap)
+            if back is None or end - back > 2 * overlap:
+                back = last_in(char_tok, start, end - overlap)
+            if back is None:  # the piece is smaller than the overlap: all but its first character
+                back = last_in(char_tok[: np.searchsorted(char_tok, start, side="right") + 1], start, end) or end
         start, shared = back, end - back
 
 
-def cutter(path: str, limit: int, overlap: int, whole: bool, with_text: bool):
+def cutter(path: str, limit: int, overlap: int, whole: bool, with_text: bool, files=(None, None)):
     """Function for mapInArrow: (id, loaded_at, text) -> pieces. `whole`: also texts within
     the limit, as one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = T.encoding(path)
+        enc, known = T.encoding(path), lattice.dictionary(*files)
         for batch in batches:
             at, rows, kept = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                found = cut_text(enc, text, limit, overlap) if text else []
+                found = cut_text(enc, text, limit, overlap, known) if text else []
                 if len(found) > 1 or whole:
                     at += [i] * len(found)
                     rows += [(k, *p) for k, p in enumerate(found)]
@@ -182,7 +239,7 @@ def cut_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, w
     last = rows.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("loaded_at").alias("at")).where("c > 1").select("doc_id", "at")
     long = rows.where("text <> ''") if whole else rows.where(F.octet_length("text") > limit)
     kinds = "doc_id long, loaded_at timestamp_ntz, piece int, char_start int, char_end int, tokens int, shared int" + (", text string" if with_text else "")
-    found = long.mapInArrow(cutter(T.tokenizer_path(spark), limit, overlap, whole, with_text), kinds)
+    found = long.mapInArrow(cutter(T.tokenizer_path(spark), limit, overlap, whole, with_text, lattice.paths(spark)), kinds)
     found = found.join(last, "doc_id", "left").where(F.col("at").isNull() | F.col("loaded_at").eqNullSafe(F.col("at")))
     columns = [c for c in found.columns if c not in ("at", "loaded_at")]
     # Rows delivered twice at one moment are told apart by nothing; one of each stays.

@@ -20,6 +20,7 @@ from lexmill.tables import read
 
 SEED = 42
 HALF = 0.5
+MOST_TARGETS = 1_000  # categories, held on the driver and in the plan
 TYPO = 2  # edits within which a spelling still is its nearest category
 
 
@@ -37,20 +38,23 @@ def categories(evidence: DataFrame, queries: DataFrame, targets: DataFrame) -> D
     within TYPO edits (at most a quarter of its letters; ties: first by name); failing that,
     the query's category; null if that fails too.  Of repeated deliveries the last counts.
     Null ids are left out."""
+    spark = evidence.sparkSession
     last = evidence.where("evidence_id is not null").groupBy("evidence_id").agg(
         F.max(F.struct("loaded_at", "clause_type", "query_id", "split")).alias("p")
     )
     rows = last.select("evidence_id", "p.clause_type", "p.query_id", "p.split")
     rows = rows.withColumn("s", F.regexp_replace(folded(F.col("clause_type")), "^_+|_+$", ""))
-    names = targets.select("clause_type").distinct()
-    # Spellings are few beside rows: match each distinct one once.
+    # Spellings are few beside rows: match each distinct one once, with every target.
     spelt = rows.where("s <> ''").select("s").distinct()
-    fold = F.regexp_replace(folded(F.col("clause_type")), "^_+|_+$", "")
-    named = names.select(F.col("clause_type").alias("category"), fold.alias("t"))
+    names = sorted(r[0] for r in targets.select("clause_type").distinct().collect())
+    if len(names) > MOST_TARGETS:
+        raise ValueError(f"at most {MOST_TARGETS} targets")
+    fold = F.regexp_replace(folded(F.col("category")), "^_+|_+$", "")
+    named = spark.createDataFrame([(n,) for n in names], "category string").select("category", fold.alias("t")).collect()
     bare = lambda x: F.regexp_replace(x, "_", "")
-    d = F.least(F.levenshtein("s", "t"), F.levenshtein(bare(F.col("s")), bare(F.col("t"))))
-    best = spelt.crossJoin(F.broadcast(named)).withColumn("d", d)
-    best = best.where((F.col("d") <= TYPO) & (F.col("d") * 4 <= F.length("t"))).groupBy("s").agg(F.min(F.struct("d", "category")).alias("m"))
+    away = lambda t: F.least(F.levenshtein("s", F.lit(t)), F.levenshtein(bare(F.col("s")), F.lit(t.replace("_", ""))))
+    near = [F.when((away(r["t"]) <= TYPO) & (away(r["t"]) * 4 <= len(r["t"])), F.struct(away(r["t"]).alias("d"), F.lit(r["category"]).alias("category"))) for r in named]
+    best = spelt.withColumn("m", F.array_min(F.array_compact(F.array(*near))) if near else F.lit(None).cast("struct<d:int,category:string>")).where("m is not null")
     asked = queries.groupBy("query_id").agg(F.min("category").alias("asked"))
     out = rows.join(best.select("s", F.col("m.category").alias("own")), "s", "left").join(asked, "query_id", "left")
     return out.select("evidence_id", F.coalesce("own", "asked").alias("category"), F.coalesce("split", F.lit("none")).alias("split"))

@@ -3,13 +3,15 @@
 A text is parted at empty lines.  Within a paragraph, quotation marks and brackets are
 paired first; then
 
-* spaced scripts: each run of terminators is decided once, in one pass from the left; whether
-  a sentence ends there follows from the word before (abbreviation, initial, number, item mark), from what
-  the mark stands in (decimals, an open quotation or bracket) and from the word after;
-* Chinese and Japanese: a full stop ends a sentence unless it stands in a quotation or
-  bracket that goes on; a particle after the closing quote goes on;
-* Thai, which has no mark: the words are found as the cheapest path of a dictionary lattice,
-  and each gap between words is classified by the word that ends and the word that opens.
+* every run of terminators is a node of a lattice and every stretch between two nodes an arc,
+  the sentence it would make.  An arc is scored by whether a sentence that begins there ends at
+  its terminator (the word before: abbreviation, initial, number, item mark; what the mark
+  stands in: decimals, an open quotation or bracket; the word after), by the likely ends it
+  runs over, and by what it looks like as a sentence.  The best path gives the sentences;
+* scripts without blanks are parted into words by the dictionary lattice (`lattice`).  In Thai,
+  which has no mark, each gap between words is classified by the word that ends and the word
+  that opens; in Chinese and Japanese the word after a closing quote tells whether the
+  sentence goes on.
 
 Positions are Unicode code points; sentences together cover all but outer white space.
 """
@@ -18,19 +20,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import lattice
 from lexmill.tables import read
 
 OPENING = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "〈": "〉", "《": "》", "【": "】", "［": "］", "‚": "‘", "‘": "’"}
 CLOSING = set(OPENING.values()) | {'"'}
-MARKS = ".!?…。！？．｡।॥؟۔"
-FULL = "。！？．｡।॥؟۔!?…"
+# Full stops that end a sentence whatever follows: ideographic, Indic, Arabic, Armenian,
+# Ethiopic, Khmer, Burmese, Tibetan, Mongolian, Canadian syllabics, Hebrew (fixed values).
+FULL = "。｡︒।॥۔։።፨។៕။༎།᠃᠉᙮׃"
+MARKS = ".!?…！？．؟፧‼⁇⁈⁉⸮" + FULL
 _EMPTY_LINE = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*| \s*")
 _RUN = re.compile(f"[{MARKS}]+(?:\\s?\\.(?=\\s?\\.))*")
 _ITEM = re.compile(r"^[\s\"“«(\[]*(?:(?:\d{1,3}|[A-Za-z]|[ivxlIVXL]{1,5})(?:\.\d{1,3})*[.)]?|[(\[](?:\d{1,3}|[A-Za-z]|[ivxl]{1,5})[)\]]|(?:§|Art|ART|Section|SECTION|Article|ARTICLE|Artikel|Artículo|Abschnitt|Clause)\.?\s*[\dIVXL]+(?:\.\d+)*)\.$")
@@ -56,78 +60,47 @@ NAMED = {"exhibit", "schedule", "annex", "appendix", "section", "part", "class",
 MONTHS = set(
     "januar februar märz april mai juni juli august september oktober november dezember jänner".split()
 )
-# Words (or their first letters) that carry a sentence on after a closing quote.
-PARTICLES = ("と", "は", "が", "を", "に", "の", "も", "で", "や", "へ", "から", "まで", "という", "との", "など", "字样", "字樣", "的", "等", "之", "及", "和", "与", "或", "一词", "一语")
-
-# Thai: words of the lattice. Openers start a statement, links never end one.
-TH_OPEN = "บริษัท อัตรา อัตราดอกเบี้ย จำนวน จำนวนเงิน คู่สัญญา ผู้ซื้อ ผู้ขาย ผู้เช่า ผู้ให้เช่า ผู้รับจ้าง ผู้ว่าจ้าง ผู้จัดหา ผู้ค้ำประกัน ผู้รับอนุญาต ผู้อนุญาต ผู้กู้ ผู้ให้กู้ ผู้รับฝาก ผู้ฝาก ผู้โอน ผู้รับโอน ผู้รับประกัน ผู้เอาประกัน ผู้ถือหุ้น ผู้รับเหมา ผู้ใด ผู้แทน ผู้จำหน่าย ผู้รับมอบ ลูกหนี้ เจ้าหนี้ นายจ้าง ลูกจ้าง ใคร หาก ถ้า เมื่อ ในกรณี นอกจากนี้ ทั้งนี้ อย่างไรก็ตาม ดังนั้น ฝ่ายใด ทั้งสองฝ่าย สัญญานี้ ข้อตกลงนี้ การ ห้าม นาย นาง นางสาว ดร คำว่า ค่าธรรมเนียม ดอกเบี้ย เอกสาร โปรด กรุณา".split()
-TH_LINK = "ของ และ หรือ ที่ ซึ่ง อัน โดย กับ แก่ แด่ ต่อ ตาม ตามข้อ ก่อน ก่อนปี หลัง ภายใน ใน จาก ถึง สู่ เพื่อ ให้ ว่า คือ เป็น จะ ต้อง ไม่ ได้ มี มีสิทธิ ไม่มีสิทธิ ตกลง ตกลงให้ เว้นแต่ ยกเว้น แต่ ร้อยละ กำหนด ถึงกำหนด ระหว่าง รวมทั้ง เช่น ข้อ ปี ด้วย ทั้ง จึง ก็".split()
-TH_WORD = "เงิน เงินประกัน บาท วัน เดือน ต่อปี จำกัด มหาชน สัญญา ชำระ ถึงกำหนดชำระ มีการคัดค้าน คัดค้าน เว้นแต่มีการคัดค้าน ของสัญญา สินค้า ใบแจ้งหนี้ กรมธรรม์ ตัวอย่าง แบบแปลน ค่าสิทธิ รายงาน รายงานการตรวจสอบ ตรวจสอบ การตรวจสอบ ส่งคืน ส่งมอบ เก็บรักษา บอกเลิก จดทะเบียน อนุมัติ แปล ประกัน ทะเบียน หนังสือ หนังสือมอบอำนาจ ล่วงหน้า เป็นลายลักษณ์อักษร ลายลักษณ์อักษร ทันที เท่านั้น แล้ว ครั้ง นี้ นั้น ทุก แต่ละ ราย คน ฝ่าย ผู้ สิทธิ มูลค่า ราคา ภาษี ชั่วโมง สัปดาห์ ลงนาม แทน ในนาม".split()
-TH_FINAL = {"ต่อปี", "ของสัญญา", "วัน", "คัดค้าน", "มีการคัดค้าน", "เว้นแต่มีการคัดค้าน", "บาท", "ทันที", "เท่านั้น", "แล้ว", "เดือน", "สัปดาห์", "ชั่วโมง", "ล่วงหน้า", "ลายลักษณ์อักษร", "เป็นลายลักษณ์อักษร", "นี้", "นั้น"}
-
-
-@lru_cache(maxsize=1)
-def _thai_words() -> tuple[dict[str, int], int]:
-    words = {w: len(w) for group in (TH_OPEN, TH_LINK, TH_WORD) for w in group}
-    return words, max(words.values())
-
-
-def thai_words(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, known) of the cheapest path through the word lattice of a Thai run: fewest
-    unknown characters, then fewest words."""
-    words, longest = _thai_words()
-    n = len(text)
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(1 << 30, 0, 0)] * n
-    for i in range(n):
-        unknown, count, _ = best[i]
-        if unknown >= 1 << 30:
-            continue
-        for j in range(i + 1, min(n, i + longest) + 1):
-            if text[i:j] in words and (unknown, count + 1) < best[j][:2]:
-                best[j] = (unknown, count + 1, i)
-        step = (unknown + 3, count + 1, i)
-        if step[:2] < best[i + 1][:2]:
-            best[i + 1] = step
-    out, at = [], n
-    while at:
-        start = best[at][2]
-        out.append((start, at, text[start:at] in words))
-        at = start
-    out.reverse()
-    merged: list[tuple[int, int, bool]] = []
-    for s, e, k in out:  # unknown characters side by side are one word
-        if not k and merged and not merged[-1][2]:
-            merged[-1] = (merged[-1][0], e, False)
+
+
+def words_of(text: str, known) -> list[tuple[int, int, str]]:
+    """(start, end, word): lattice words of spaceless runs, other runs between blanks whole."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        if lattice.RUN.match(m.group()):
+            out += [(m.start() + a, m.start() + b, m.group()[a:b]) for a, b, _ in lattice.words(m.group(), known)]
         else:
-            merged.append((s, e, k))
-    return merged
+            out.append((m.start(), m.end(), m.group()))
+    return out
 
 
-_THAI_TOKEN = re.compile("[฀-๿]+|[^\\s฀-๿]+")
+_TOKEN = re.compile(f"[{lattice.SPACELESS}]+|[^\\s{lattice.SPACELESS}]+")
+_THAI_OPEN, _THAI_LINK, _THAI_FINAL, _THAI_TITLE = (frozenset(x) for x in (lattice.THAI_OPEN, lattice.THAI_LINK, lattice.THAI_FINAL, lattice.THAI_TITLE))
 
 
-def _thai_ends(text: str, depth: np.ndarray) -> list[int]:
-    """Ends of Thai statements: gaps before an opening word."""
-    opens, links = set(TH_OPEN), set(TH_LINK)
-    tokens: list[tuple[int, int, str]] = []
-    for m in _THAI_TOKEN.finditer(text):
-        if _THAI.match(m.group()):
-            tokens += [(m.start() + s, m.start() + e, m.group()[s:e]) for s, e, _ in thai_words(m.group())]
-        else:
-            tokens.append((m.start(), m.end(), m.group()))
+def _thai_ends(text: str, depth: np.ndarray, known) -> list[int]:
+    """Ends of Thai statements: gaps before an opening word, behind a blank or a final word."""
+    tokens = words_of(text, known)
     ends = []
-    for (s0, e0, before), (s1, _, after) in zip(tokens, tokens[1:]):
-        if depth[s1] or before in links:
+    for (_, e0, before), (s1, _, after) in zip(tokens, tokens[1:]):
+        if depth[s1] or after not in _THAI_OPEN or before in _THAI_LINK or before in _THAI_TITLE:
             continue
-        opening = after in opens or (after.startswith("ผู้") and len(after) > 3)
-        spaced = s1 > e0
-        if opening and (spaced or before in TH_FINAL):
-            if before in ("บริษัท", "นาย", "นาง", "นางสาว", "ดร"):
-                continue
+        if s1 > e0 or before in _THAI_FINAL:
             ends.append(e0)
     return ends
 
 
+def _goes_on(rest: str, known) -> bool:
+    """Whether the first word after a closing quote is a particle that carries the sentence on."""
+    run = lattice.RUN.match(rest)
+    if not run:
+        return False
+    a, b, _ = lattice.words(run.group()[:24], known)[0]
+    return rest[a:b] in _PARTICLES
+
+
+_PARTICLES = frozenset(lattice.JAPANESE_PARTICLE + lattice.CHINESE_PARTICLE)
+
+
 def pairs(text: str) -> np.ndarray:
     """How many paired quotations and brackets each position stands in (marks themselves: the
     inside of their pair). Marks without a partner in the paragraph count for nothing."""
@@ -158,6 +131,10 @@ def pairs(text: str) -> np.ndarray:
     return np.cumsum(depth)[: len(text) + 1]
 
 
+LOOK = 240  # characters next to a mark that rules on words read
+_NEXT = re.compile(r"\S")
+
+
 def _opens(rest: str) -> bool:
     """Whether `rest` (without leading blanks) can open a sentence."""
     ch = rest[0]
@@ -175,13 +152,14 @@ def _opens(rest: str) -> bool:
 def _stops(text: str, start: int, at: int, end: int, after: int) -> bool:
     """Whether the marks text[at:end] end a sentence begun at `start`, with text going on at
     `after` (closing marks lie between end and after)."""
-    marks, rest = text[at:end], text[after:].lstrip()
-    if not rest:
+    marks, found = text[at:end], _NEXT.search(text, after)
+    if not found:
         return True
+    rest = text[found.start() : found.start() + LOOK]
     spaced = text[after].isspace()
     last = marks[-1]
-    before = text[start:at]
-    if last in "。｡।॥۔":
+    before = text[max(start, at - LOOK) : at]
+    if last in FULL:
         return True
     if last in "！？" and not spaced:
         return True
@@ -207,8 +185,8 @@ def _stops(text: str, start: int, at: int, end: int, after: int) -> bool:
         return bool(word) and (word[-1].isdigit() or word[-1] in "%)") and len(rest) > 1 and rest[1].islower()
     if not _opens(rest):
         return False
-    head = text[start:end].strip()
-    if _ITEM.match(head) and (len(head) < 12) and not (before.strip().lower() in NAMED):
+    head = text[start:end].strip() if end - start < LOOK else ""
+    if head and _ITEM.match(head) and (len(head) < 12) and not (before.strip().lower() in NAMED):
         return False
     first = re.match(r"[^\s]+", rest).group()
     lower = first.lower().strip(".,;:\"'“”»«()")
@@ -239,55 +217,93 @@ def _stops(text: str, start: int, at: int, end: int, after: int) -> bool:
     return True
 
 
-def _paragraph(text: str) -> list[int]:
-    """Ends of the sentences of one paragraph (the last end is the paragraph's)."""
+SKIPPED = 3  # likely ends that an arc may run over
+
+
+def _nodes(text: str, depth: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(start of the marks, their end, end of the sentence with closing marks, whether a
+    pair closes there) of every run of terminators at which a sentence can end."""
+    out, closers = [], CLOSING | {"'", "*", "_"}
+    for m in _RUN.finditer(text):
+        at, end = m.start(), m.end()
+        while end > at and text[end - 1].isspace():
+            end -= 1
+        after, level = end, depth[at]
+        while after < len(text) and text[after] in closers and (text[after] not in "'*_" or text[at - 1 : at].isalnum()):
+            if text[after] in "'*_" and after + 1 < len(text) and not text[after + 1].isspace():
+                break
+            if text[after] == '"' and depth[after] == 0:
+                break
+            after += 1
+            level = depth[after - 1] - 1 if text[after - 1] not in "'*_" else level
+        if text[after : after + 2] in (" »", "\u00a0»", "\u202f»") and depth[at]:
+            after += 2
+            level = depth[at] - 1
+        if level <= 0:
+            out.append((at, end, after, bool(depth[at] > 0)))
+    return out
+
+
+def _ends_at(text: str, depth: np.ndarray, start: int, node: tuple[int, int, int, bool], known) -> bool:
+    """Whether a sentence that begins at `start` ends at the node."""
+    at, end, after, closed = node
+    found = _NEXT.search(text, after)
+    if closed and found:
+        rest = text[found.start() : found.start() + LOOK]
+        opened = _opened(text, depth, at, start)
+        whole = not text[start:opened].strip()
+        if text[opened : opened + 1] in "([（［【" and not whole:
+            return False
+        if _HAN.match(rest[0]) or _HAN.match(text[at - 1 : at]):
+            led = text[max(start, opened - LOOK) : opened].rstrip()[-1:] in ("：", ":", "，", ",")
+            return (led or whole) and not _goes_on(rest, known)
+        if not text[after].isspace() and not rest[0].isupper():
+            return False
+    return _stops(text, start, at, end, after)
+
+
+def _looks(text: str, start: int, end: int) -> float:
+    """What is odd about a stretch as a sentence: it begins in lower case, or is an item mark
+    alone."""
+    first = _NEXT.search(text, start, end)
+    if not first:
+        return 2.0
+    alone = end - start < 16 and _ITEM.match(text[start:end].strip()) is not None
+    return 0.5 * text[first.start()].islower() + 0.5 * alone
+
+
+def _paragraph(text: str, known) -> list[int]:
+    """Ends of the sentences of one paragraph (the last end is the paragraph's): the best path
+    through the lattice of its terminators."""
     depth = pairs(text)
     ends: list[int] = []
-    thai = len(_THAI.findall(text)) * 2 > sum(c.isalpha() for c in text)
-    if thai:
-        ends = _thai_ends(text, depth)
-    start = 0
-    closers = CLOSING | {"'", "*", "_"}
-    if not _heading(text):
-        for m in _RUN.finditer(text):
-            at, end = m.start(), m.end()
-            while end > at and text[end - 1].isspace():
-                end -= 1
-            if at < start:
-                continue
-            after = end
-            level = depth[at]
-            while after < len(text) and text[after] in closers and (text[after] not in "'*_" or text[at - 1 : at].isalnum()):
-                if text[after] in "'*_" and after + 1 < len(text) and not text[after + 1].isspace():
-                    break
-                if text[after] == '"' and depth[after] == 0:
-                    break
-                after += 1
-                level = depth[after - 1] - 1 if text[after - 1] not in "'*_" else level
-            if text[after : after + 2] in (" »", " »", " »") and depth[at]:
-                after += 2
-                level = depth[at] - 1
-            if level > 0:
+    if len(_THAI.findall(text)) * 2 > sum(c.isalpha() for c in text):
+        ends = _thai_ends(text, depth, known)
+    nodes = [] if _heading(text) else _nodes(text, depth)
+    # best[k]: score and node before, for a path that ends a sentence at node k - 1 (0: the start).
+    best: list[tuple[float, int] | None] = [(0.0, -1)] + [None] * len(nodes)
+    final = (-1e9, 0)
+    for k in range(len(nodes) + 1):
+        if best[k] is None:
+            continue
+        score, start, skipped = best[k][0], nodes[k - 1][2] if k else 0, 0
+        for j in range(k, len(nodes)):
+            if nodes[j][0] < start or not _ends_at(text, depth, start, nodes[j], known):
                 continue
-            closed = depth[at] > 0
-            rest = text[after:].lstrip()
-            if closed and rest:
-                opened = _opened(text, depth, at, start)
-                whole = not text[start:opened].strip()
-                if text[opened : opened + 1] in "([（［【" and not whole:
-                    continue
-                if _HAN.match(rest[0]) or _HAN.match(text[at - 1 : at]):
-                    led = text[start:opened].rstrip()[-1:] in ("：", ":", "，", ",")
-                    if rest.startswith(PARTICLES) or not (led or whole):
-                        continue
-                    ends.append(after)
-                    start = after
-                    continue
-                if not text[after].isspace() and not rest[0].isupper():
-                    continue
-            if _stops(text, start, at, end, after):
-                ends.append(after)
-                start = after
+            arc = score + 2 - 2 * skipped - _looks(text, start, nodes[j][2])
+            if best[j + 1] is None or arc > best[j + 1][0]:
+                best[j + 1] = (arc, k)
+            skipped += 1
+            if skipped > SKIPPED:
+                break
+        else:
+            left = score - 2 * skipped - (_looks(text, start, len(text)) if start < len(text) else 0)
+            if left > final[0]:
+                final = (left, k)
+    k = final[1]
+    while k > 0:
+        ends.append(nodes[k - 1][2])
+        k = best[k][1]
     ends += [m.end() for m in _UNSTOPPED.finditer(text) if not depth[m.start()]]
     return sorted(set(ends) | {len(text)})
 
@@ -306,16 +322,20 @@ def _heading(text: str) -> bool:
     return bool(bare) and bare[-1] not in MARKS and bare[-1] not in "\"'”’»“」』）)" and len(bare.split()) <= 7 and len(bare) <= 80 and not _HAN.search(bare) and not _THAI.search(bare) and not re.search(r"[!?]\s", bare)
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence; none for null or blank text."""
+def sentences(text: str | None, known=None) -> list[tuple[int, int]]:
+    """(start, end) of every sentence; none for null or blank text.
+
+    `known`: a `lattice.dictionary`; the default one when None."""
     if not text or not text.strip():
         return []
+    if known is None:
+        known = lattice.dictionary(*lattice.paths())
     out, at = [], 0
     bounds = [(m.start(), m.end()) for m in _EMPTY_LINE.finditer(text)]
     for stop, restart in [*bounds, (len(text), len(text))]:
         if stop > at:
             part, start = text[at:stop], 0
-            for end in _paragraph(part):
+            for end in _paragraph(part, known):
                 piece = part[start:end]
                 left = len(piece) - len(piece.lstrip())
                 right = len(piece.rstrip())
@@ -326,19 +346,25 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def splitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (chunk_id, char_start, char_end)."""
-    for batch in batches:
-        take, first, last = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for a, b in sentences(text):
-                take.append(i)
-                first.append(a)
-                last.append(b)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(take, type=pa.int64())), pa.array(first, type=pa.int32()), pa.array(last, type=pa.int32())],
-            names=["chunk_id", "char_start", "char_end"],
-        )
+def splitter(files=(None, None)):
+    """Function for mapInArrow: (id, text) -> (chunk_id, char_start, char_end). `files`: see
+    `lattice.dictionary`."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lattice.dictionary(*files)
+        for batch in batches:
+            take, first, last = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for a, b in sentences(text, known):
+                    take.append(i)
+                    first.append(a)
+                    last.append(b)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(take, type=pa.int64())), pa.array(first, type=pa.int32()), pa.array(last, type=pa.int32())],
+                names=["chunk_id", "char_start", "char_end"],
+            )
+
+    return split
 
 
 def split_sentences(chunks: DataFrame) -> DataFrame:
@@ -348,7 +374,7 @@ def split_sentences(chunks: DataFrame) -> DataFrame:
     table gives no rows; further columns are ignored."""
     rows = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text")
     # Repeats are dropped among the narrow results, so no text is ever shuffled.
-    return rows.mapInArrow(splitter, "chunk_id long, char_start int, char_end int").distinct()
+    return rows.mapInArrow(splitter(lattice.paths(chunks.sparkSession)), "chunk_id long, char_start int, char_end int").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

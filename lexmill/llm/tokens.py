@@ -46,6 +46,31 @@ def encode(enc, text: str) -> list[int]:
         return enc.encode_ordinary(clean(text))
 
 
+def as_utf8(text: str) -> bytes:
+    try:
+        return text.encode("utf-8")
+    except UnicodeEncodeError:
+        return clean(text).encode("utf-8")
+
+
+def encode_array(enc, text: str) -> np.ndarray:
+    try:
+        return enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+    except UnicodeEncodeError:
+        return enc.encode_to_numpy(clean(text), disallowed_special=()).astype(np.int64)
+
+
+_LENGTHS: dict[int, np.ndarray] = {}
+
+
+def byte_lengths(enc) -> np.ndarray:
+    """Bytes of every token of the vocabulary."""
+    if id(enc) not in _LENGTHS:
+        _LENGTHS.clear()
+        _LENGTHS[id(enc)] = np.array([len(enc.decode_single_token_bytes(t)) for t in range(enc.max_token_value + 1)], dtype=np.int64)
+    return _LENGTHS[id(enc)]
+
+
 def counter(path: str):
     """Function for mapInArrow: the last column (text) becomes its number of tokens."""
 

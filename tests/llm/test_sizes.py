@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexmill.llm import bins, mixing, pieces, sampling, sentences
+from lexmill.llm import bins, lattice, mixing, pieces, sampling, sentences
 from lexmill.llm import tokens as T
 from lexmill.llm.flow import Network, apportion
 
@@ -169,7 +169,94 @@ def test_mix_never_repeats_too_often(spark, small):
     assert rows and all(r["repeats"] <= most[r["source"]] for r in rows)
 
 
+def test_report_is_what_was_drawn(spark, small):
+    drawn = {}
+    for r in mixing.p8_mix(spark, small).collect():
+        drawn[r["source"]] = drawn.get(r["source"], 0) + r["repeats"] * r["tokens"]
+    told = {r["source"]: r for r in mixing.p8_shares(spark, small).collect()}
+    assert {s: r["tokens"] for s, r in told.items() if r["tokens"]} == drawn
+    assert abs(sum(r["share"] for r in told.values()) - 1) < 1e-9
+    largest = max(r["tokens"] for r in mixing.p8_mix(spark, small).collect())
+    for s, r in told.items():  # the quota, to half a document at either end of a stretch
+        assert abs(r["tokens"] - (r["quota"] - r["missing"])) <= 2 * largest
+
+
+def test_sample_and_report_agree(spark, small):
+    drawn = {}
+    for r in sampling.p5_sample(spark, small).collect():
+        drawn[r["category"]] = drawn.get(r["category"], 0) + 1
+    told = {r["clause_type"]: r for r in sampling.p5_report(spark, small).collect()}
+    assert {c: r["drawn"] for c, r in told.items() if r["drawn"]} == drawn
+    floors = {c: min(r["min_rows"], r["there"]) for c, r in told.items()}
+    fit = sum(floors.values()) <= sum(drawn.values())  # else the floors alone exceed the sample
+    for c, r in told.items():
+        assert (r["drawn"] >= floors[c] or not fit) and r["drawn"] <= r["there"]
+    assert {c for c, r in told.items() if r["shortfall"]} == {r[0] for r in sampling.p5_found(spark, small).collect()}
+
+
+@pytest.mark.parametrize("n,lo,hi,capacity,most", [(1000, 300, 900, 2048, 1.01), (1000, 340, 1200, 2048, 1.01), (600, 1, 97, 200, 1.01)])
+def test_swaps_win_on_awkward_sizes(n, lo, hi, capacity, most):
+    """From one item a container, and from the first placement; until nothing is left to do."""
+    rng = random.Random(1)
+    sizes = [rng.randint(lo, hi) for _ in range(n)]
+    bound = -(-sum(sizes) // capacity)
+    first = bins.place(sizes, capacity)
+    for start in (first, [[i] for i in range(n)]):
+        after = bins.improve([list(b) for b in start], sizes, capacity)
+        assert sorted(i for b in after for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= capacity for b in after)
+        assert len(after) <= len(first) and len(after) <= most * bound
+
+
+def test_no_exchange_is_left():
+    rng = random.Random(4)
+    sizes = [rng.randint(20, 90) for _ in range(60)]
+    after = bins.improve([[i] for i in range(60)], sizes, 100)
+    if len(after) > -(-sum(sizes) // 100):
+        fill = [sum(sizes[i] for i in b) for b in after]
+        for x, a in enumerate(after):
+            gifts = [[i] for i in a] + [[i, j] for i in a for j in a if i < j]
+            for y, b in enumerate(after):
+                for out in gifts if x != y else ():
+                    for back in [[]] * (len(out) == 1) + [[j] for j in b]:
+                        d = sum(sizes[i] for i in out) - sum(sizes[j] for j in back)
+                        assert not (0 < d <= 100 - fill[y] and fill[y] + d > fill[x])
+
+
+@pytest.mark.parametrize("one,two", [("第{}期の賃料を借主が銀行へ払う。", "秘密情報{}を第三者に漏らさない。"), ("第{}期租金由乙方支付给银行。", "保密资料{}不得泄露给第三人。"), ("ผู้เช่าจ่ายค่าเช่างวดที่{} ", "ห้ามเปิดเผยข้อมูลลับ{} "), ("The tenant pays rent {} to the bank. ", "No secret {} is told outsiders. ")])
+def test_a_topic_change_at_sentence_forty_is_the_deepest_valley(one, two):
+    parts = [one.format(i) for i in range(40)] + [two.format(i) for i in range(40)]
+    gaps, at = [], 0
+    for p in parts[:-1]:
+        at += len(p)
+        gaps.append(at)
+    depth = pieces.valleys("".join(parts), gaps)
+    assert depth.argmax() == 39 and depth[39] > 0.5
+
+
+def test_overlap_gives_way_before_the_limit(enc):
+    for text in ("\U00020bb7" * 400, "龘" * 600, "x\U0001f468\u200d\U0001f469" * 200):
+        got = pieces.cut_text(enc, text, 40, 16)
+        assert got[0][0] == 0 and got[-1][1] == len(text)
+        for (a, b, n, _), (c, d, m, s) in zip(got, got[1:]):
+            assert c <= b < d and len(T.encode(enc, text[c:d])) == m <= 40
+
+
+def test_words_of_a_lattice_and_a_dictionary_of_ones_own(tmp_path):
+    own = tmp_path / "words.txt"
+    own.write_text("契約書\n契約\n書類\nnot spaceless\n\nສະບາຍດີ\n", encoding="utf-8")
+    known = lattice.dictionary(None, str(own))
+    cut = lambda t: [t[a:b] for a, b, _ in lattice.words(t, known)]
+    assert cut("契約書類") == ["契約", "書類"] and cut("契約書") == ["契約書"] and cut("ສະບາຍດີສະບາຍດີ") == ["ສະບາຍດີ"] * 2
+    assert cut("龘契約") == ["龘", "契約"] and lattice.words("", known) == []
+
+
 CASES = [
+    ("买方称：“我方支付。”的确如此。他走。", ["买方称：“我方支付。”", "的确如此。", "他走。"]),
+    ("Առաջին է։ Երկրորդ է։", ["Առաջին է։", "Երկրորդ է։"]),
+    ("መጀመሪያ ነው። ሁለተኛ ነው።", ["መጀመሪያ ነው።", "ሁለተኛ ነው።"]),
+    ("នេះជាការងារ។ នោះជាផ្ទះ។", ["នេះជាការងារ។", "នោះជាផ្ទះ។"]),
+    ("ဒါကစာအုပ်။ အဲဒါအိမ်။", ["ဒါကစာအုပ်။", "အဲဒါအိမ်။"]),
+    ("یہ پہلا ہے۔ وہ دوسرا ہے۔", ["یہ پہلا ہے۔", "وہ دوسرا ہے۔"]),
     ("Mr. Smith pays $3.50 to Acme Inc. The rest is due. See No. 5 of it.", ["Mr. Smith pays $3.50 to Acme Inc.", "The rest is due.", "See No. 5 of it."]),
     ("He said “Stop. Go.” and left. “We stay.” They did.", ["He said “Stop. Go.” and left.", "“We stay.”", "They did."]),
     ("Fees\n\nOne line\nbreaks here. Two.", ["Fees", "One line\nbreaks here.", "Two."]),
