@@ -46,7 +46,7 @@ TRAIN, EVAL = 0, 1
 
 STORE = "rec_id long, loaded_at timestamp_ntz, role byte, kind byte, tid long, n int, h0 long, h1 long, ids array<int>"
 POSTING = "key long, tid long, p0 long, p1 long"  # p1: 32 bits of the sketch, then the number of words
-PER_TASK = 5_000_000  # words of texts whose postings one task joins: two million rows, about 60 MB
+PER_TASK = 2_500_000  # words of texts whose postings one task joins: about a million rows, 20 MB
 PER_SALT = 20_000  # occurrences of a segment that one task holds against the other side
 
 
