@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,13 @@ SUBSECTION = r"(?m)^\s*(\([a-z]\)|\([ivxlc]+\)|\(\d+\))\s+"
 DEFINITION = "(?m)^[\"“]([^\"”]+)[\"”](?::|\\s+means?\\b)"
 PAGE_LINE = r"(?m)^\d+\s*$|^\(NY\)\s+\d+/.*\.doc\s*$"
 LEADERS = r"\.{5,}"
-HEADING = r"(?im)^\s*(?:(?:section|article|clause)\s+)?(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[\).\s:-]{1,5}([A-Z][A-Za-z0-9 ,/&'().\-]{2,90})\s*$"
+HEADING = r"(?imd)^\s*(?:(?:section|article|clause)\s+)?(?:[ivxlcdm]+|\d+(?:\.\d+)*|[a-z])[\).\s:-]{1,5}([A-Z][A-Za-z0-9 ,/&'().\-]{2,90})\s*$"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once, however often the body and the functions in
+    it name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_text(text: Column) -> Column:
@@ -84,19 +92,40 @@ def aligned_window(text: Column, start: Column, length: Column, margin: int) ->
     return F.regexp_replace(F.concat(left, F.substring(text, lo + 1, hi - lo), right), r"^\s+|\s+$", "")
 
 
+BLOCK_TAGS = ("br", "p", "div", "tr", "li", "h1", "h2", "h3", "h4")  # fixed values: tags that begin a line
+# What a page is made of: a comment or declaration, an element whose content is no text, a tag, text.
+_MARKUP = r"(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?</(?:script|style)\s*>|<[!?/a-z][^>]*>|[^<]+|<"
+
+
+def unescaped(text: Column) -> Column:
+    """Character references resolved once: numbers, and the names that HTML defines."""
+    names = F.create_map(*[F.lit(x) for k, v in sorted(html5.items()) if k.endswith(";") for x in (k[:-1], v)])
+    number = lambda p: F.regexp_extract(p, r"^#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", 1)
+
+    def resolved(p: Column) -> Column:
+        n, name = number(p), F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+        point = F.when(F.rlike(n, F.lit("^[xX]")), F.conv(F.substring(n, 2, 7), 16, 10)).otherwise(F.conv(n, 10, 10)).cast("long")
+        valid = (n != "") & (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point)), 8, "0")), "UTF-32")
+        named = F.try_element_at(names, name)
+        rest = lambda skip: F.substring(p, skip + 1, F.length(p))
+        tail = rest(F.length(F.regexp_extract(p, "^#[0-9a-fA-FxX]{1,7};?", 0)))
+        return F.when(valid, F.concat(char, tail)).when((name != "") & named.isNotNull(), F.concat(named, rest(F.length(name) + 1))).otherwise(F.concat(F.lit("&"), p))
+
+    done = F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")
+    return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and comments dropped, line ends at block tags, entities resolved.
+    """Text of a page, well-formed or not: scripts, styles and comments dropped, line ends at
+    block tags, references resolved, blanks and empty lines squeezed.
 
-    For well-formed pages; `lexmill.sources.pages` has a parser for the rest."""
-    t = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<(br|/?(p|div|tr|li|h[1-4]))(\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for name, ch in (("&nbsp;|&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&apos;|&#39;", "'"), ("&amp;", "&")):
-        t = F.regexp_replace(t, name, ch)
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    The page is read as a run of markup and text; what cannot be either is text."""
+    kind = lambda p: F.lower(F.regexp_extract(p, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    dropped = lambda p: F.when(kind(p).isin("script", "style"), " ").otherwise(F.when(kind(p).isin(*BLOCK_TAGS) & (F.lower(F.substring(p, 1, 4)) != "</br"), "\n").otherwise(""))
+    text = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(0)), lambda p: F.when(F.startswith(p, F.lit("<")) & (p != "<"), dropped(p)).otherwise(p)), "")
+    rows = F.transform(F.split(F.regexp_replace(unescaped(text), r"[ \t\r\f\x0B]+", " "), "\n"), lambda r, i: F.when(i == 0, r).otherwise(F.ltrim(r)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(rows, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -122,14 +151,21 @@ def first_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(body, r"(?s)[\[{].*[\]}]", 0), F.lit(""))
 
 
+# How generated questions are marked, numbered, or stand alone on a line.
+MARKED = r"(?:\*\*Question:\*\*|Q\d+[:.]\s*(?:\*\*Question:\*\*)?\s*)(.*?)(?:\n|$)"
+NUMBERED = r"(?m)^\s*\d+\.\s+(.+?)$"
+LINE = r"(?m)^(.*)$"
+
+
 def questions(text: Column) -> Column:
-    """Questions in generated text: marked ones, else numbered ones, else lines that ask."""
-    tidy = lambda s: F.regexp_replace(s, r"^[\s*]+|[\s*]+$", "")
-    long = lambda s: F.length(s) > 10
-    marked = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:\*\*Question:\*\*|Q\d+[:.]\s*(?:\*\*Question:\*\*)?\s*)(.*?)(?:\n|$)"), F.lit(1)), tidy), long)
-    numbered = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*\d+\.\s+(.+?)$"), F.lit(1)), lambda s: F.trim(s)), lambda s: long(s) & F.endswith(s, F.lit("?")))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^[\s*\-]+|[\s*\-]+$", "")), lambda s: long(s) & F.endswith(s, F.lit("?")))
-    return F.when(F.size(marked) > 0, marked).when(F.size(numbered) > 0, numbered).otherwise(lines)
+    """Questions in generated text: marked ones, else numbered ones, else lines that ask; those
+    of more than ten characters."""
+    out = F.array().cast("array<string>")
+    for pattern, edge, asks in reversed([(MARKED, r"[\s*]", False), (NUMBERED, r"\s", True), (LINE, r"[\s*\-]", True)]):
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s, e=edge: F.regexp_replace(s, f"^{e}+|{e}+$", ""))
+        kept = F.filter(found, lambda s, a=asks: (F.length(s) > 10) & (F.endswith(s, F.lit("?")) | F.lit(not a)))
+        out = F.when(F.size(kept) > 0, kept).otherwise(out)
+    return out
 
 
 def breakpoints(likeness: Column, threshold: Column, least: int = 3) -> Column:

@@ -30,4 +30,8 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "chunk").where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    """One row a chunk; rows that differ under one id are ordered by their values."""
+    rows = read(spark, sf_dir, "chunk").where("chunk_id is not null")
+    rest = [c for c in rows.columns if c != "chunk_id"]
+    first = F.min_by(F.struct(*rest), F.struct("text", "doc_id", "page")).alias("c")
+    return rows.groupBy("chunk_id").agg(first).select("chunk_id", *[f"c.{c}" for c in rest])

@@ -12,6 +12,7 @@ from lexmill.operators import ranking as R
 from lexmill.plans.base import chunks, documents, evidence, judged
 from lexmill.plans.ranking import bm25_sql
 from lexmill.plans.registry import DOCS, EVIDENCE, JUDGED, RECORDS, named
+from lexmill.plans.text import _sentences_sql
 from lexmill.tables import read
 
 
@@ -47,13 +48,70 @@ def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.size("b").alias("n"), F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"))
 
 
-@named()
+MAX = 256
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?m)^\d+\s*$|^\(NY\)\s+\d+/.*\.doc\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_SPLIT = r"list_filter(string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+_TOKENS = "cast(floor(len({0}) * 1.4::double) as int)"
+
+
+@named(
+    rf"""with recursive {DOCS}, c as (select doc_id, {_CLEAN} as t from docs), s as (select doc_id, s from (select doc_id, {_sentences_sql('t')} as s from c) where len(s) > 0),
+    w as (select doc_id, s, list_transform(s, lambda x: list_distinct({_SPLIT.format('lower(x)')})) as w from s),
+    l as (select doc_id, s, list_transform(range(1, len(s)), lambda i: round(len(list_intersect(w[i], w[i + 1])) / sqrt(greatest(len(w[i]) * len(w[i + 1]), 1)::double), 6)) as likes from w),
+    o as (select doc_id, s, likes, list_sort(likes) as o, (len(likes) - 1) * 0.25::double as p from l),
+    q as (select doc_id, s, likes, o[floor(p)::bigint + 1] + (coalesce(o[floor(p)::bigint + 2], o[floor(p)::bigint + 1]) - o[floor(p)::bigint + 1]) * (p - floor(p)) as thr from o),
+    rb(doc_id, i, last, breaks) as (select doc_id, 0::bigint, 0::bigint, []::bigint[] from q union all select rb.doc_id, i + 1, case when likes[i + 1] < thr and i - last >= 3 then i + 1 else last end,
+    case when likes[i + 1] < thr and i - last >= 3 then list_append(breaks, i + 1) else breaks end from rb join q on q.doc_id = rb.doc_id where i < len(likes)),
+    cuts as (select q.doc_id, s, list_concat([0::bigint], breaks, [len(s)::bigint]) as cuts from rb join q on q.doc_id = rb.doc_id where i = len(likes) and len(s) > 3),
+    seg as (select doc_id, k, array_to_string(s[cuts[k + 1] + 1 : cuts[k + 2]], ' ') as text from (select doc_id, s, cuts, unnest(range(0, len(cuts) - 1)) as k from cuts)),
+    sized as (select doc_id, k, text, {_TOKENS.format(_SPLIT.format('text'))} > {MAX} as big from seg),
+    cl as (select doc_id, k, unnest(l) as c, unnest(range(1, len(l) + 1)) as j from (select doc_id, k, string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(31), 'g'), chr(31)) as l from sized where big)),
+    cw as (select doc_id, k, j, c, {_SPLIT.format('c')} as w from cl),
+    un as (select doc_id, k, j, 0::bigint as m, c as unit from cw where {_TOKENS.format('w')} <= {MAX}
+    union all select doc_id, k, j, m, array_to_string(w[m * 149 + 1 : m * 149 + 164], ' ') from (select *, unnest(range(0, 1 + cast(greatest(0, ceil((len(w) - 164) / 149.0)) as bigint))) as m from cw where {_TOKENS.format('w')} > {MAX})),
+    ul as (select doc_id, k, list(unit order by j, m) as units, list({_TOKENS.format(_SPLIT.format('unit'))} order by j, m) as sizes from un group by doc_id, k),
+    pk(doc_id, k, i, lo, total, cut) as (select doc_id, k, 0::bigint, 0::bigint, 0::bigint, []::bigint[][] from ul union all
+    select doc_id, k, i + 1, case when new then i - back else lo end, case when new then case when back = 1 then before else 0 end else total end + here, case when new then list_append(cut, [lo, i]) else cut end
+    from (select pk.*, sizes[i + 1] as here, sizes[i] as before, i > lo and total + sizes[i + 1] > {MAX} as new, case when i > lo and sizes[i] <= {MAX // 4} then 1 else 0 end as back from pk join ul on ul.doc_id = pk.doc_id and ul.k = pk.k where i < len(sizes))),
+    pt as (select pk.doc_id, pk.k, list_append(cut, [lo, i]) as cut, units from pk join ul on ul.doc_id = pk.doc_id and ul.k = pk.k where i = len(units)),
+    it as (select doc_id, k, 0::bigint as j, text, false as fresh from sized where not big union all select doc_id, k, j, array_to_string(units[cut[j][1] + 1 : cut[j][2]], ' '), true from (select *, unnest(range(1, len(cut) + 1)) as j from pt)),
+    ml as (select doc_id, list(text order by k, j) as texts, list(len({_SPLIT.format('text')}) order by k, j) as sizes, list(fresh order by k, j) as fresh from it group by doc_id),
+    mg(doc_id, i, lo, total, cut) as (select doc_id, 0::bigint, 0::bigint, 0::bigint, []::bigint[][] from ml union all select doc_id, i + 1, case when new then i else lo end, case when new then 0 else total end + here, case when new then list_append(cut, [lo, i]) else cut end
+    from (select mg.*, sizes[i + 1] as here, i > lo and (total + sizes[i + 1] > {C.most_words(MAX)} or fresh[i + 1]) as new from mg join ml on ml.doc_id = mg.doc_id where i < len(sizes))),
+    fin as (select mg.doc_id, list_append(cut, [lo, i]) as cut, texts from mg join ml on ml.doc_id = mg.doc_id where i = len(texts)),
+    ch as (select doc_id, j, array_to_string(texts[cut[j][1] + 1 : cut[j][2]], ' ') as text from (select *, unnest(range(1, len(cut) + 1)) as j from fin)),
+    out_ as (select doc_id, cast(row_number() over (partition by doc_id order by j) - 1 as int) as chunk, 'semantic' as chunk_type, text from ch where len({_SPLIT.format('text')}) >= 5
+    union all select doc_id, 0, 'clause', array_to_string(s, ' ') from s where len(s) <= 3)
+    select doc_id, chunk, chunk_type, text, {_TOKENS.format(_SPLIT.format('text'))} as est_tokens from out_"""
+)
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences broken where neighbours are unlike, merged and split to size."""
-    return C.semantic_chunks(documents(spark, sf_dir))
+    return C.semantic_chunks(documents(spark, sf_dir), MAX)
+
+
+def _marked(pattern: str, column: str) -> str:
+    """Rows (..., at, body, n, i) of a text cut where the pattern begins."""
+    return rf"string_split(regexp_replace({column}, '{pattern}', chr(31) || '\0', 'g'), chr(31))"
+
 
+_RE2 = lambda p: p.replace("(?imd)", "(?im)").replace("'", "''")
+_HEADING, _ARTICLE, _SECTION, _DEFINITION = (_RE2(p) for p in (S.HEADING, S.ARTICLE, S.SECTION, S.DEFINITION))
+_AT = "cast(coalesce(list_sum(list_transform(parts[1 : i - 1], lambda x: length(x))), 0) as int)"
+_SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
-@named()
+
+def _cut(source: str, pattern: str, column: str = "text") -> str:
+    return f"select *, parts[i] as body, {_AT} as pos from (select *, unnest(range(1, len(parts) + 1)) as i, len(parts) as n from (select *, {_marked(pattern, column)} as parts from {source}))"
+
+
+@named(
+    rf"""with {DOCS}, t as (select doc_id, case when heading is not null then '1. ' || heading || chr(10) || text else text end as text from docs),
+    p as (select doc_id, pos, body, i = n as final, regexp_extract(body, '{_HEADING}') as head from ({_cut('t', _HEADING)}) where trim(regexp_replace(body, '\s+', '', 'g')) <> ''),
+    r as (select *, case when final then least(length(body), length(head) + 2500) else length(body) end as reach from p where head <> '' and starts_with(body, head)),
+    b as (select *, regexp_replace(substr(body, 1, reach), '^\s+|\s+$', '', 'g') as b from r),
+    k as (select *, case when length(b) > 2500 then regexp_replace(regexp_replace(substr(b, 1, 2500), ' [^ ]*$', ''), '^\s+|\s+$', '', 'g') else b end as k from b)
+    select doc_id, {_SQUEEZED.format(f"regexp_extract(head, '{_HEADING}', 1)")} as title, k as text, pos as start, cast(pos + least(reach, length(k)) as int) as "end" from k where len(regexp_extract_all(k, '[\p{{L}}\p{{N}}_]+')) >= 25"""
+)
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that headings open, from documents and the headings kept beside them."""
     d = documents(spark, sf_dir, "text", "heading")
@@ -61,15 +119,60 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(d.select("doc_id", numbered.alias("text")))
 
 
-@named()
+# Contract texts with an opening, so that bodies begin somewhere.
+_OPENED = "'CONTENTS' || chr(10) || 'ARTICLE 1' || chr(10) || 'Scope ........ 2' || chr(10) || case when contract_id is null then '' else 'The parties agree as follows:' || chr(10) end || 'ARTICLE 1' || chr(10) || 'Scope' || chr(10) || text"
+
+
+@named(
+    rf"""with {DOCS}, t as (select doc_id, {_OPENED} as text from docs),
+    b as (select doc_id, text, regexp_extract(text, '(?is)^.*?(?:agree\s+as\s+follows)(.*)$', 1) as b1, regexp_matches(text, '(?i)agree\s+as\s+follows') as m1, regexp_extract(text, '(?is)^.*?(?:WITNESSETH)(.*)$', 1) as b2, regexp_matches(text, '(?i)WITNESSETH') as m2,
+    regexp_extract(text, '(?is)^.*?(?:NOW,?\s+THEREFORE)(.*)$', 1) as b3, regexp_matches(text, '(?i)NOW,?\s+THEREFORE') as m3 from t),
+    c as (select doc_id, text, m1 or m2 or m3 as m, case when m1 then b1 when m2 then b2 else b3 end as behind from b),
+    d as (select doc_id, text, m, case when m then length(text) - length(behind) + case when regexp_matches('|' || behind, '{_ARTICLE}') then length(({_marked(_ARTICLE, "'|' || behind")})[1]) - 1 else 0 end end as a from c),
+    h as (select doc_id, min(pos) as pos from ({_cut('t', _ARTICLE)}) where regexp_extract(body, '{_ARTICLE}') <> '' and not regexp_matches(substr(text, pos + length(regexp_extract(body, '{_ARTICLE}')) + 1, 200), '\.{{5,}}') group by doc_id),
+    e as (select d.doc_id, text, coalesce(a, pos, 0) as a from d left join h on h.doc_id = d.doc_id)
+    select doc_id, cast(length(regexp_replace(substr(text, 1, a), '^\s+|\s+$', '', 'g')) as int) as front, cast(case when a > 0 then length(regexp_replace(substr(text, a + 1), '^\s+|\s+$', '', 'g')) else length(text) end as int) as body from e"""
+)
 def front_and_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.strip_contents(documents(spark, sf_dir))
+    """Lengths of what stands before and in the body of each text under a table of contents."""
+    d = documents(spark, sf_dir, "text", "contract_id")
+    lead = F.when(F.col("contract_id").isNull(), "").otherwise("The parties agree as follows:\n")
+    opened = F.concat(F.lit("CONTENTS\nARTICLE 1\nScope ........ 2\n"), lead, F.lit("ARTICLE 1\nScope\n"), "text")
+    out = C.strip_contents(d.select("doc_id", opened.alias("text")))
     return out.select("doc_id", F.length("front").alias("front"), F.length("body").alias("body"))
 
 
-@named()
+def _head_sql(column: str, pattern: str) -> str:
+    one, two = (f"nullif({_SQUEEZED.format(f'regexp_extract({column}, {chr(39)}{pattern}{chr(39)}, {i})')}, '')" for i in (1, 2))
+    return f"trim(concat_ws(': ', {one}, {two}))"
+
+
+# Contract texts under an article and a section heading.
+_HEADED = "'ARTICLE 1' || chr(10) || 'Scope' || chr(10) || 'Section 1.1. Fees. ' || text || chr(10) || 'Section 1.2. Term. End.'"
+
+
+@named(
+    rf"""with {DOCS}, t as (select doc_id, {_HEADED} as text from docs), a as (select doc_id, pos as base, case when regexp_matches(body, '{_ARTICLE}') then {_head_sql('body', _ARTICLE)} when pos = 0 then 'PREAMBLE' end as article, body as text from ({_cut('t', _ARTICLE)}) where regexp_replace(body, '\s+', '', 'g') <> ''),
+    s as (select doc_id, article, {_head_sql('body', _SECTION)} as section, base + pos as pos, trim(body) as text from ({_cut('a', _SECTION)}) where regexp_replace(body, '\s+', '', 'g') <> '')
+    select doc_id, article, section, min(pos) as "at", cast(sum(length(text)) as bigint) as chars from s group by doc_id, article, section"""
+)
 def articles_and_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.structure(documents(spark, sf_dir)).groupBy("doc_id", "article", "section").agg(F.min("at").alias("at"), F.sum(F.length("text")).alias("chars"))
+    d = documents(spark, sf_dir)
+    headed = F.concat(F.lit("ARTICLE 1\nScope\nSection 1.1. Fees. "), "text", F.lit("\nSection 1.2. Term. End."))
+    return C.structure(d.select("doc_id", headed.alias("text"))).groupBy("doc_id", "article", "section").agg(F.min("at").alias("at"), F.sum(F.length("text")).alias("chars"))
+
+
+@named(
+    rf"""with {EVIDENCE}, {DOCS}, t as (select evidence_id as doc_id, '“' || clause_type || '” means ' || d.text || chr(10) || '"Other": ' || coalesce(ev.heading, '') as text from ev join docs d on cast(d.doc_id as varchar) = ev.doc_id where clause_type is not null)
+    select doc_id as evidence_id, regexp_extract(body, '{_DEFINITION}', 1) as term, pos as "at", cast(length(regexp_replace(body, '^\s+|\s+$', '', 'g')) as int) as chars from ({_cut('t', _DEFINITION)}) where regexp_extract(body, '^{_DEFINITION[4:] if _DEFINITION.startswith("(?m)") else _DEFINITION}', 1) <> ''"""
+)
+def definition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions written over passages of evidence, found again."""
+    ev = evidence(spark, sf_dir, "clause_type", "doc_id", "heading").where("clause_type is not null")
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    text = F.concat(F.lit("“"), "clause_type", F.lit("” means "), "text", F.lit('\n"Other": '), F.coalesce("heading", F.lit("")))
+    out = C.definitions(ev.join(d, "doc_id").select(F.col("evidence_id").alias("doc_id"), text.alias("text")))
+    return out.select(F.col("doc_id").alias("evidence_id"), "term", "at", F.length("text").alias("chars"))
 
 
 _WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"

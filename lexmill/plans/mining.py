@@ -10,7 +10,7 @@ from lexmill.operators import mining as N
 from lexmill.operators import ranking as R
 from lexmill.plans.base import chunks, documents, evidence, judged, records
 from lexmill.plans.ranking import _TOPICAL, bm25_sql
-from lexmill.plans.registry import DOCS, EVIDENCE, JUDGED, RECORDS, named, sql_list, tokens
+from lexmill.plans.registry import CHUNKS, DOCS, EVIDENCE, JUDGED, RECORDS, named, sql_list, tokens
 from lexmill.plans.rules import HEADINGS, SUBTYPES
 from lexmill.plans.text import _keys
 from lexmill.tables import read
@@ -29,7 +29,7 @@ def qrels_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(
-    f"""with {DOCS}, {JUDGED}, top as (select doc_id from docs where doc_id % 10 = 0) select q.query_id, t.doc_id, coalesce(j.grade, 0) as rel from queries q cross join top t
+    f"""with {DOCS}, {JUDGED}, top as (select doc_id from docs) select q.query_id, t.doc_id, coalesce(j.grade, 0) as rel from queries q cross join top t
     left join judged j on j.query_id = q.query_id and j.doc_id = cast(t.doc_id as varchar)""",
     name="relevance_default",
 )
@@ -116,7 +116,7 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(
-    """with c as (select distinct on (chunk_id) chunk_id, doc_id, coalesce(text, '') as text from chunk where chunk_id is not null order by chunk_id)
+    f"""with {CHUNKS}, c as (select chunk_id, doc_id, coalesce(text, '') as text from chunks)
     select chunk_id, string_agg(text, chr(10) || chr(10)) over (partition by doc_id order by chunk_id rows between 1 preceding and 1 following) as context from c where doc_id is not null"""
 )
 def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:

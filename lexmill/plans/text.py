@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import segments as S
 from lexmill.functions import words as W
 from lexmill.plans.base import chunks, documents, evidence, records
-from lexmill.plans.registry import DOCS, EVIDENCE, RECORDS, named, sql_list, tokens
+from lexmill.plans.registry import CHUNKS, DOCS, EVIDENCE, RECORDS, named, sql_list, tokens
 from lexmill.tables import read
 
 STOP, BOTH = sql_list(W.STOPWORDS), sql_list(W.STOPWORDS + W.TEMPLATE_WORDS)
@@ -85,7 +85,7 @@ def normalize_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document of each content, spacing apart, and how often it comes."""
     rows = read(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
     rows = rows.where(W.squeeze(F.col("text")) != "").select("doc_id", "loaded_at", W.content_hash(F.col("text")).alias("content"))
-    once = rows.groupBy("doc_id").agg(F.max_by("content", "loaded_at").alias("content"))
+    once = rows.groupBy("doc_id").agg(F.max(F.struct("loaded_at", "content")).alias("p")).select("doc_id", "p.content")
     return once.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
@@ -153,7 +153,7 @@ _PAGE = """'<html><script>var x = 1;</script><body><h1>' || coalesce(heading, 'x
 
 
 @named(
-    rf"""with {DOCS}, h as (select doc_id, {_PAGE} as page from docs where lang = 'en'),
+    rf"""with {DOCS}, h as (select doc_id, {_PAGE} as page from docs),
     a as (select doc_id, regexp_replace(page, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g') as t from h),
     b as (select doc_id, regexp_replace(regexp_replace(t, '(?i)<(br|/?(p|div|tr|li|h[1-4]))(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g') as t from a),
     c as (select doc_id, replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&') as t from b),
@@ -170,7 +170,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(
-    rf"""with {DOCS} select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\d+\s*$|^\(NY\)\s+\d+/.*\.doc\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as cleaned from docs where text not like '%' || chr(13) || '%'"""
+    rf"""with {DOCS} select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?m)^\d+\s*$|^\(NY\)\s+\d+/.*\.doc\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as cleaned from docs"""
 )
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without page-number lines."""
@@ -267,7 +267,7 @@ def question_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     select contract_id, replace(accession, '-', '') as accession_path, lpad(cast(cik as varchar), 10, '0') as cik10,
     (lower(document) like '%.htm' or lower(document) like '%.html' or lower(document) like '%.txt') as readable,
     not contains(lower(document || ' ' || coalesce(description, '')), 'graphic') and not contains(lower(document || ' ' || coalesce(description, '')), 'calculation')
-    and (regexp_matches(lower(document || ' ' || coalesce(description, '')), '\\bex(?:hibit)?[-_\\s]?10(?:[\\.\\-_]\\d+)?') or regexp_matches(lower(coalesce(description, '')), '\\b10(?:[\\.\\-_]\\d+)?\\b')) as exhibit,
+    and (regexp_matches(lower(document || ' ' || coalesce(description, '')), '\\bex(?:hibit)?[-_\\s]?10(?:[\\.\\-_]\\d+)?\\b') or regexp_matches(lower(coalesce(description, '')), '\\b10(?:[\\.\\-_]\\d+)?\\b')) as exhibit,
     case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from p where document is not null"""
 )
 def filing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +276,7 @@ def filing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.lower(F.concat("document", F.lit(" "), F.coalesce("description", F.lit(""))))
     name = F.lower("document")
     exhibit = ~F.contains(both, F.lit("graphic")) & ~F.contains(both, F.lit("calculation")) & (
-        F.rlike(both, F.lit(r"\bex(?:hibit)?[-_\s]?10(?:[\.\-_]\d+)?")) | F.rlike(F.lower(F.coalesce("description", F.lit(""))), F.lit(r"\b10(?:[\.\-_]\d+)?\b"))
+        F.rlike(both, F.lit(r"\bex(?:hibit)?[-_\s]?10(?:[\.\-_]\d+)?\b")) | F.rlike(F.lower(F.coalesce("description", F.lit(""))), F.lit(r"\b10(?:[\.\-_]\d+)?\b"))
     )
     return p.where("document is not null").select(
         "contract_id", F.replace("accession", F.lit("-"), F.lit("")).alias("accession_path"), F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik10"),
@@ -286,8 +286,8 @@ def filing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(
-    """with c as (select distinct on (chunk_id) * from chunk where chunk_id is not null order by chunk_id)
-    select chunk_id, array_to_string(section_path, ' > ') as header, case when len(section_path) > 0 then '[' || array_to_string(section_path, ' > ') || ']' || chr(10) || text else text end as full_text, metadata['lang'] as language from c where text is not null"""
+    f"""with {CHUNKS}
+    select chunk_id, array_to_string(section_path, ' > ') as header, case when len(section_path) > 0 then '[' || array_to_string(section_path, ' > ') || ']' || chr(10) || text else text end as full_text, metadata['lang'] as language from chunks where text is not null"""
 )
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section header, text under its header, and a metadata value whatever its key's case."""

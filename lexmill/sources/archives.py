@@ -80,6 +80,8 @@ def _inflated(source: Bytes) -> Iterator[bytes]:
     while not inflate.eof:
         data = left or source.some()
         if not data:
+            if out := inflate.flush():
+                yield out
             return
         try:
             out = inflate.decompress(data, BLOCK)
@@ -134,33 +136,29 @@ def entries(source: Bytes) -> Iterator[Iterator[bytes]]:
         except Ended:
             return
         if flags & SIZE_LATER:
-            if source.look(4) == DESCRIPTOR:
-                source.exactly(4)
-            at = source.look(20)
-            wide = at[20:24] == ENTRY or at[12:16] not in (ENTRY, *OTHERS)
-            try:
-                source.exactly(20 if wide and len(at) == 20 else 12)
-            except Ended:
-                return
+            _descriptor(source)
+
+
+def _descriptor(source: Bytes) -> None:
+    """Past the sizes behind an entry: with or without a mark, in 4 or 8 bytes each."""
+    if source.look(4) == DESCRIPTOR:
+        source.exactly(4)
+    at = source.look(16)
+    narrow = len(at) < 16 or at[12:16] in (ENTRY, *OTHERS)
+    for _ in range(12 if narrow else 20):
+        source.some(1)
 
 
 def _to_next(source: Bytes) -> None:
-    """On to the mark of the next entry, past a directory of entries read already."""
-    while True:
-        data = source.some()
-        if not data:
-            return
+    """On to the mark of the next entry, past the directory of an archive read already."""
+    tail = b""
+    while data := source.some():
+        data = tail + data
         at = data.find(ENTRY)
         if at >= 0:
             source.put_back(data[at:])
             return
-        tail = source.some(3)
-        source.put_back(data[-3:] + tail if len(data) >= 3 else data + tail)
-        if len(data) <= 3 and not tail:
-            source.exactly(len(data))
-            return
-        if len(source.held) <= 3:
-            return
+        tail = data[-3:]
 
 
 def lines(blocks: Iterator[bytes]) -> Iterator[dict]:

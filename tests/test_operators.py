@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.operators import chunking as C
 from lexmill.operators import metrics as M
@@ -77,24 +79,77 @@ def test_triplets_drop_bad_negatives(spark):
     assert [r["negative"] for r in N.triplets(rows).collect()] == ["n"]
 
 
-def test_merge_and_split_keep_all_words():
-    segs = ["a b c.", "d " * 90, "e f g h."]
-    out = C.merge_and_split([s.strip() for s in segs], 60)
-    assert set(" ".join(out).split()) == set(" ".join(segs).split())
-    assert all(C.est_tokens(t) <= 60 for t in out)
+def packs(sizes, limit, fresh, overlap):
+    """Bounds of runs, plainly."""
+    out, lo, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and (total + n > limit or fresh[i]):
+            out.append((lo, i))
+            k, total = i, 0
+            while k > lo and i - k < overlap and total + sizes[k - 1] <= limit // 4:
+                k -= 1
+                total += sizes[k]
+            lo = k
+        total += n
+    return [*out, (lo, len(sizes))] if sizes else []
 
 
-def test_heading_spans():
+def test_runs_match_a_plain_loop(spark):
+    rng = random.Random(6)
+    rows = [([rng.randint(0, 40) for _ in range(rng.randint(0, 25))], rng.randint(0, 2)) for _ in range(150)]
+    rows = [(s, [rng.random() < 0.1 for _ in s]) for s, _ in rows]
+    df = spark.createDataFrame(rows, "s array<int>, f array<boolean>")
+    got = df.select("s", "f", *[C.runs(F.col("s"), 60, F.col("f"), k).alias(f"r{k}") for k in (0, 1, 3)]).collect()
+    for r in got:
+        for k in (0, 1, 3):
+            assert [tuple(x) for x in r[f"r{k}"]] == packs(r["s"], 60, r["f"], k)
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def test_semantic_chunks_keep_all_words_within_the_limit(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice("fee rent lease notice term crane lien tax audit".split())
+    docs = [". ".join(" ".join(word() for _ in range(rng.choice([3, 9, 90]))) for _ in range(30)) + "." for _ in range(4)]
+    got = C.semantic_chunks(texts(spark, *docs, "One two three four five. Six.", "", None), 60, least_words=0).collect()
+    for k, d in enumerate(docs):
+        own = [r["text"] for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["chunk"])]
+        assert set(" ".join(own).split()) == set(d.split()) and all(int(len(t.split()) * 1.4) <= 60 + 60 // 4 + 1 for t in own)  # carried clauses come on top
+    assert [(r["chunk_type"], r["text"]) for r in got if r["doc_id"] == 4] == [("clause", "One two three four five. Six.")]
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3, 4}
+
+
+def test_semantic_chunks_with_an_encoder(spark):
+    """Vectors that turn at the seventh sentence: the break is there."""
+    import numpy as np
+
+    def encode(sentences):
+        return np.array([[1.0, 0.0] if "rent" in s else [0.0, 1.0] for s in sentences])
+
+    doc = " ".join(f"The rent {i} is paid late here." for i in range(6)) + " " + " ".join(f"A crane {i} is kept well there." for i in range(6))
+    got = C.semantic_chunks(texts(spark, doc), 60, C.encoded(encode)).orderBy("chunk").collect()
+    assert ["rent" in r["text"] and "crane" in r["text"] for r in got].count(True) <= 1 and len(got) >= 2
+
+
+def test_sections(spark):
     body = " ".join(["word"] * 30)
-    got = C.heading_spans(f"1. Termination\n{body}\n2. Notices\n{body}")
-    assert [g[0] for g in got] == ["Termination", "Notices"]
-    assert C.heading_spans("no headings here") == []
+    got = C.sections(texts(spark, f"intro\n1. Termination\n{body}\n2. Notices\n{body}", "no headings here", f"1. Long\n{'abc ' * 900}")).orderBy("doc_id", "start").collect()
+    assert [r["title"] for r in got] == ["Termination", "Notices", "Long"]
+    assert got[0]["start"] == 6 and len(got[2]["text"]) <= 2500 and got[2]["text"].endswith("abc")
+
+
+def test_front_and_body(spark):
+    rows = texts(spark, "Contents ARTICLE\nthe parties agree as follows:\nARTICLE 1\nScope\nText", "plain", "ARTICLE 1\nScope .......... 3\nARTICLE 1\nScope\nText", "x WITNESSETH that", "ARTICLE 2\nA\n" + "." * 9)
+    got = {r["doc_id"]: (r["front"], r["body"]) for r in C.strip_contents(rows).collect()}
+    assert got[0][1].startswith("ARTICLE 1\nScope") and got[1] == ("", "plain") and got[3] == ("x WITNESSETH", "that")
+    assert got[2] == ("ARTICLE 1\nScope .......... 3", "ARTICLE 1\nScope\nText") and got[4][0] == ""
 
 
-def test_body_start():
-    text = "Contents ARTICLE\nthe parties agree as follows:\nARTICLE 1\nScope\nText"
-    assert text[C.body_start(text) :].startswith("ARTICLE 1")
-    assert C.body_start("plain") == 0
+def test_definitions(spark):
+    got = C.definitions(texts(spark, '“Fee” means money.\nMore.\n"Term": a time.\nend', "none")).orderBy("at").collect()
+    assert [(r["term"], r["text"]) for r in got] == [("Fee", "“Fee” means money.\nMore."), ("Term", '"Term": a time.\nend')]
 
 
 def test_maxsim(spark):

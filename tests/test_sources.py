@@ -1,6 +1,10 @@
+import io
 import json
 import zipfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from lexmill.sources import archives, files, pages
 from lexmill.streaming.dedup import append_log, read_log
 
@@ -38,21 +42,78 @@ def test_generated_pairs_skip_missing(spark, tmp_path):
     assert files.generated_pairs(spark, [str(p), str(tmp_path / "none.json")]).count() == 1
 
 
+def numbered(k, n=2000):
+    return "\n".join([json.dumps({"label": ["a", "b"], "n": k * n + i}) for i in range(n)] + ["not json"])
+
+
+def zipped(path, entries, how=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", how) as z:
+        for name, text in entries:
+            z.writestr(name, text)
+    return path
+
+
 def test_zip_scan_survives_truncation(spark, tmp_path):
-    p = tmp_path / "a.zip"
-    with zipfile.ZipFile(p, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("x.jsonl", "\n".join([json.dumps({"label": ["a", "b"], "n": i}) for i in range(2000)] + ["not json"]))
-    archives.register(spark)
-    df = spark.read.format("zipped_json_lines").schema("label string, n int").load(str(p))
+    p = zipped(tmp_path / "a.zip", [("x.jsonl", numbered(0))])
+    df = archives.zipped_json_lines(spark, str(p), "label string, n int")
     assert df.count() == 2000 and df.first()["label"] == '["a", "b"]'
     cut = tmp_path / "cut.zip"
     cut.write_bytes(p.read_bytes()[:2000])
-    n = spark.read.format("zipped_json_lines").schema("label string, n int").load(str(cut)).count()
-    assert 0 < n < 2000
+    assert 0 < archives.zipped_json_lines(spark, str(cut), "label string, n int").count() < 2000
+
+
+def test_zip_scan_of_every_entry_and_of_archives_inside(spark, tmp_path):
+    inner = zipped(tmp_path / "inner.zip", [("x.jsonl", numbered(0)), ("y.jsonl", numbered(1))])
+    outer = tmp_path / "outer.zip"
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("folder/", "")
+        z.writestr("folder/inner.zip", inner.read_bytes())
+        z.writestr("plain.jsonl", '{"n": 4000}\n{"n": 4001}')
+        with z.open("streamed.jsonl", "w") as f:
+            f.write(b'{"n": 4002}')
+    rows = lambda path: sorted(r["n"] for r in archives.zipped_json_lines(spark, str(path), "n int").collect())
+    assert rows(outer) == list(range(4003)) and rows(inner) == list(range(4000))
+    cut = tmp_path / "outer-cut.zip"
+    cut.write_bytes(outer.read_bytes()[: inner.stat().st_size - 3000])
+    assert 2000 < len(rows(cut)) < 4000
+    unseekable = io.BytesIO()
+    with zipfile.ZipFile(Unseekable(unseekable), "w", zipfile.ZIP_DEFLATED) as z:  # sizes stand behind the entries
+        z.writestr("a", '{"n": 1}')
+        z.writestr("b", '{"n": 2}')
+    (tmp_path / "later.zip").write_bytes(unseekable.getvalue())
+    assert rows(tmp_path / "later.zip") == [1, 2]
+    zipped(tmp_path / "empty.zip", [])
+    assert rows(tmp_path / "empty.zip") == []
+    with pytest.raises(FileNotFoundError):
+        rows(tmp_path / "none*.zip")
+
+
+class Unseekable(io.RawIOBase):
+    def __init__(self, to):
+        self.to = to
+
+    def writable(self):
+        return True
+
+    def seekable(self):
+        return False
+
+    def write(self, data):
+        return self.to.write(data)
+
+
+def test_a_small_deflated_bomb_is_read_in_blocks():
+    import zlib
+
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    data = packer.compress(b" " * (64 << 20)) + packer.flush()
+    assert max(map(len, archives._inflated(archives.Bytes(io.BytesIO(data).read)))) <= archives.BLOCK
 
 
 def test_pages_and_feed(spark):
-    assert pages.page_text("<p>A &amp; B<script>x</script></p><p>C").split() == ["A", "&", "B", "C"]
+    page = "<p>A &amp; B<script>x < y</script></p><!-- no --><p class='a>b'>C &#167;&#xA7; &copy;2 &amp;lt; &unknown; 1 < 2<br>D"
+    got = spark.createDataFrame([(page,), (None,), ("",)], "p string").select(pages.page_to_text(F.col("p")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["A & B \n\nb'>C §§ ©2 &lt; &unknown; 1 < 2\nD", None, ""]
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>10-K</title><link href="u{0}"/><updated>2020-01-02T00:00</updated></entry></feed>'
 
     def fetch(url):
