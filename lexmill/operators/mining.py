@@ -18,16 +18,37 @@ def draw(*key: str | Column, seed: int = SEED) -> Column:
     return F.sha1(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]))
 
 
+BUCKETS = 4096  # of a group's draws; rows of one bucket are sorted together
+
+
+def drawn_rank(rows: DataFrame, group: list[str], by: Column, *ties: str) -> DataFrame:
+    """`rows` with `_r`, their place in the order of `by` (a draw) and `ties` within each group
+    (null is a group), and `_n`, the rows of the group.
+
+    The draw is hexadecimal text, so its first digits part a group evenly into BUCKETS: bucket
+    counts are summed in order and only rows of one bucket meet in a task, so a group that
+    holds a third of all rows is spread."""
+    digits = len(f"{BUCKETS - 1:x}")
+    d = rows.withColumn("_d", by).withColumn("_b", F.substring("_d", 1, digits))
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(f"_g{i}") for i, g in enumerate(group)]
+    names = [f"_g{i}" for i in range(len(group))]
+    d = d.select("*", *keys)
+    sizes = d.groupBy(*names, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*names)  # at most BUCKETS rows a group
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*names, "_b", before.alias("_before"), F.sum("_c").over(w).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_d", *ties))
+    ranked = d.withColumn("_i", inside).join(sizes, [*names, "_b"])
+    return ranked.withColumn("_r", F.col("_before") + F.col("_i")).drop(*names, "_b", "_d", "_before", "_i")
+
+
 def group_split(keys: DataFrame, key: str, dev: float = 0.1, test: float = 0.1) -> DataFrame:
     """(key, part): distinct keys in drawn order, the first share dev, the next test, the rest
-    train; each held-out part gets at least one key.
-
-    The rank is exact but only over distinct keys, never rows."""
+    train; each held-out part gets at least one key."""
     k = keys.where(F.col(key).isNotNull()).select(key).distinct()
-    n = k.agg(F.count("*").alias("n"))
-    ranked = k.withColumn("_r", F.row_number().over(Window.orderBy(draw(key), key))).crossJoin(F.broadcast(n))
-    n_dev = F.greatest(F.lit(1), F.floor(F.col("n") * dev))
-    n_test = F.greatest(F.lit(1), F.floor(F.col("n") * test))
+    ranked = drawn_rank(k, [], draw(key), key)
+    n_dev = F.greatest(F.lit(1), F.floor(F.col("_n") * dev))
+    n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * test))
     part = F.when(F.col("_r") <= n_dev, "dev").when(F.col("_r") <= n_dev + n_test, "test").otherwise("train")
     return ranked.select(key, part.alias("part"))
 
@@ -89,29 +110,41 @@ def hard_negatives(scored: DataFrame, queries: DataFrame, docs: DataFrame, posit
 
     From the `top_k` best by score, those that are no positives and share at most
     `max_overlap` of the query's keywords, in rank order; what is missing is filled with
-    documents drawn by seed from the rest (no overlap test there, `filled` true)."""
+    documents drawn by seed from the rest (no overlap test there, `filled` true).
+
+    The fill orders documents by one draw, turned by a draw of the query: each query takes the
+    first documents from its own place on. Positives and documents taken already can stand
+    there, so it looks at as many more as it has of those."""
     top = scored.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rk") <= top_k)
     free = top.join(positives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     kept = free.join(queries.select("query_id", keywords(F.col("text")).alias("_k")), "query_id").join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
     kept = kept.where(overlap(F.col("_k"), F.col("_t")) <= max_overlap).select("query_id", "doc_id", "rk")
     first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rk"))).where(F.col("_n") <= n).select("query_id", "doc_id", "rk")
     first = cut(first, "negatives")  # n rows a query; used three times below
-    short = queries.select("query_id").join(first.groupBy("query_id").agg(F.count("*").alias("_c")), "query_id", "left").select("query_id", (F.lit(n) - F.coalesce("_c", F.lit(0))).alias("_need")).where("_need > 0")
-    pool = short.join(docs.select("doc_id"), F.lit(True)).join(positives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    drawn = pool.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(draw("query_id", "doc_id"), "doc_id"))).where("_n <= _need")
+    taken = first.select("query_id", "doc_id").unionByName(positives.select("query_id", "doc_id").join(queries.select("query_id"), "query_id", "left_semi")).distinct()
+    counts = first.groupBy("query_id").agg(F.count("*").alias("_c"))
+    short = queries.select("query_id").distinct().join(counts, "query_id", "left").select("query_id", (F.lit(n) - F.coalesce("_c", F.lit(0))).alias("_need")).where("_need > 0")
+    short = short.join(taken.groupBy("query_id").agg(F.count("*").alias("_gone")), "query_id", "left").fillna({"_gone": 0})
+    line = drawn_rank(docs.select("doc_id").distinct(), [], draw("doc_id"), "doc_id")
+    size = line.agg(F.max("_n").alias("_size"))  # one row
+    turn = F.conv(F.substring(draw("query_id"), 1, 8), 16, 10).cast("long")
+    span = F.least(F.col("_need") + F.col("_gone"), F.col("_size"))
+    asked = short.join(size, F.lit(True)).where("_size > 0").select("query_id", "_need", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), span - 1), lambda i: F.pmod(turn + i, F.col("_size")) + 1)).alias("_place", "_r"))
+    pool = asked.join(line.select("doc_id", "_r"), "_r").join(taken, ["query_id", "doc_id"], "left_anti")
+    drawn = pool.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("_place"))).where("_n <= _need")
     return first.withColumn("filled", F.lit(False)).unionByName(drawn.select("query_id", "doc_id", F.lit(None).cast("int").alias("rk"), F.lit(True).alias("filled")))
 
 
 def capped(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The first n rows of each group in drawn order."""
+    """The first n rows of each group in drawn order (Spark keeps n a group and task before
+    the shuffle)."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(draw(key), key))).where(F.col("_r") <= n).drop("_r")
 
 
 def balanced(rows: DataFrame, group: str, key: str, ceiling: int, floor: int) -> DataFrame:
     """`rows` with `copy`: groups above the ceiling cut to it, groups below the floor repeated
     up to it; the ceiling has precedence."""
-    w = Window.partitionBy(group)
-    r = rows.withColumn("_r", F.row_number().over(w.orderBy(draw(key), key))).withColumn("_n", F.count("*").over(w))
+    r = drawn_rank(rows, [group], draw(key), key)
     cut = (F.lit(ceiling) > 0) & (F.col("_n") > ceiling)
     grow = ~cut & (F.lit(floor) > 0) & (F.col("_n") < floor)
     copies = F.when(grow, F.ceil(F.lit(floor) / F.col("_n")).cast("int")).otherwise(F.lit(1))
@@ -124,8 +157,7 @@ def balanced(rows: DataFrame, group: str, key: str, ceiling: int, floor: int) ->
 def holdout_then_cap(rows: DataFrame, group: str, key: str, hold: int = 30, share: int = 5, cap: int = 1000, least: int = 30) -> DataFrame:
     """`rows` with `part`: in drawn order the first min(hold, n // share) of a group are eval,
     the next `cap` train; groups under `least` rows drop out."""
-    w = Window.partitionBy(group)
-    r = rows.withColumn("_r", F.row_number().over(w.orderBy(draw(key), key))).withColumn("_n", F.count("*").over(w))
+    r = drawn_rank(rows, [group], draw(key), key)
     held = F.least(F.lit(hold), F.floor(F.col("_n") / share))
     part = F.when(F.col("_r") <= held, "eval").when(F.col("_r") <= held + cap, "train")
     return r.where(F.col("_n") >= least).withColumn("part", part).where("part is not null").drop("_r", "_n")
@@ -133,7 +165,7 @@ def holdout_then_cap(rows: DataFrame, group: str, key: str, hold: int = 30, shar
 
 def round_robin(rows: DataFrame, group: str, key: str, total: int) -> DataFrame:
     """`total` rows, one of each group a round, groups and rows in drawn order."""
-    r = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(draw(key), key)))
+    r = drawn_rank(rows, [group], draw(key), key).withColumnRenamed("_r", "round").drop("_n")
     return r.orderBy("round", draw(group), group).limit(total)
 
 

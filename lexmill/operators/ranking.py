@@ -24,33 +24,28 @@ def ranked(scored: DataFrame, by: str, item: str, k: int | None = None, score: s
     return out.where(F.col("rk") <= k) if k else out
 
 
-def index(docs: DataFrame, words=tokenize) -> DataFrame:
-    """Postings of `docs(doc_id, text)`: (doc_id, dl, tok, tf, lead), written once.
-
-    Texts are read and tokenised once for all that is derived from them.  Grouping by
-    document needs no shuffle when the documents already lie by doc_id.  `lead` is 1 in one
-    row of each document, so that documents are counted without a distinct."""
-    split = docs.select("doc_id", words(F.col("text")).alias("toks"))
-    flat = split.select("doc_id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "tok"))
-    return cut(flat.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"), F.max((F.col("pos") == 0).cast("int")).alias("lead")), "postings")
-
-
 def bm25(queries: DataFrame, docs: DataFrame, words=tokenize) -> DataFrame:
     """(query_id, doc_id, score) for `queries(query_id, text)` and `docs(doc_id, text)`, for
     pairs that share a word.
 
     Okapi weights; an idf below zero counts as a quarter of the mean idf of all words.
-    Repeated query words count repeatedly.  The vocabulary's document counts and the sums per
-    pair are combined map-side; scoring reads only postings of words that some query has."""
+    Documents without words count towards their number and mean length; repeated query words
+    count repeatedly.  The vocabulary (a row a word, counted map-side) is all that is written;
+    only words that some query has become postings."""
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-    postings = index(docs, words)
-    counts = postings.groupBy("tok").agg(F.count("*").alias("df"))
-    size = postings.agg(F.sum("lead").cast("double").alias("n"), (F.sum("tf") / F.sum("lead")).alias("avgdl"))
+    split = docs.select("doc_id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("toks"))
+    # A null beside each document's words stands for the document itself.
+    every = split.select(F.size("toks").alias("dl"), F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit(None).cast("string")))).alias("tok"))
+    counts = cut(every.groupBy("tok").agg(F.count("*").alias("df"), F.sum("dl").alias("total")), "vocabulary")
+    size = counts.where("tok is null").select(F.col("df").cast("double").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))  # one row
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = counts.crossJoin(F.broadcast(size)).select("tok", idf.alias("idf"))  # size is one row
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    weights = raw.join(asked.select("tok").distinct(), "tok", "left_semi").crossJoin(F.broadcast(mean))
+    raw = counts.where("tok is not null").crossJoin(F.broadcast(size)).select("tok", idf.alias("idf"))
+    mean = raw.agg(F.avg("idf").alias("mean"))  # one row
+    wanted = asked.select("tok").distinct()
+    weights = raw.join(wanted, "tok", "left_semi").crossJoin(F.broadcast(mean))
     weights = weights.select("tok", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    flat = split.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).join(wanted, "tok", "left_semi")
+    postings = flat.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
     joined = postings.join(asked.join(weights, "tok"), "tok").crossJoin(F.broadcast(size))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))

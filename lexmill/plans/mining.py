@@ -110,9 +110,19 @@ def _rules(spark: SparkSession) -> DataFrame:
 )
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the same family and another subtype that the subtype's guard does not hit."""
-    out = _rules(spark).where("guard is not null").alias("a").join(_routed(spark, sf_dir).alias("b"), (F.col("a.family") == F.col("b.family")) & (F.col("a.subtype") != F.col("b.subtype")))
-    out = out.where(~F.regexp_like(F.lower("b.text"), F.col("a.guard")))
-    return out.groupBy("a.subtype").agg(F.count("*").alias("siblings"), F.min("b.evidence_id").alias("first_sibling"))
+    # Each passage is held against the guards of its family once; only (subtype, id) go on.
+    hit = _unguarded(_routed(spark, sf_dir))
+    return hit.groupBy(F.col("target").alias("subtype")).agg(F.count("*").alias("siblings"), F.min("evidence_id").alias("first_sibling"))
+
+
+def _unguarded(routed: DataFrame) -> DataFrame:
+    """(target, evidence_id): passages of another subtype of the target's family that its guard
+    does not hit. The rules are configuration, a literal list of tests, so nothing is joined."""
+    tests = [
+        F.when((F.col("family") == f) & (F.col("subtype") != s_) & ~F.rlike(F.lower("text"), F.lit(g)), F.lit(s_))
+        for f, s_, _, g in SUBTYPES if g
+    ]
+    return routed.select("evidence_id", F.explode(F.array_compact(F.array(*tests))).alias("target"))
 
 
 @named(
@@ -177,7 +187,8 @@ _NEG = f"{DOCS}, {JUDGED}, {bm25_sql()}, pos as (select query_id, cast(doc_id as
     and (case when len(k) > 0 then len(list_intersect(k, w)) / len(k) else 0.0 end) <= 0.75),
     f as (select query_id, doc_id, rk from (select *, row_number() over (partition by query_id order by rk) as n from kept) where n <= 5),
     need as (select q.query_id, 5 - count(f.doc_id) as need from queries q left join f using (query_id) group by q.query_id),
-    pool as (select need.query_id, d.doc_id, need, row_number() over (partition by need.query_id order by {_sha('need.query_id', 'd.doc_id')}, d.doc_id) as n from need cross join docs d where need > 0
+    line as (select doc_id, row_number() over (order by {_sha('doc_id')}, doc_id) - 1 as r0, count(*) over () as size from docs),
+    pool as (select need.query_id, d.doc_id, need, row_number() over (partition by need.query_id order by ((r0 - cast('0x' || substr({_sha('need.query_id')}, 1, 8) as bigint)) % size + size) % size) as n from need cross join line d where need > 0
     and not exists (select 1 from pos where pos.query_id = need.query_id and pos.doc_id = d.doc_id) and not exists (select 1 from f where f.query_id = need.query_id and f.doc_id = d.doc_id))
     select query_id, doc_id, cast(rk as int) as rk, false as filled from f union all select query_id, doc_id, null, true from pool where n <= need"""
 )
@@ -353,19 +364,22 @@ def heading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @named(
-    f"""with {EVIDENCE}, {DOCS}, {_ROUTED}, pos as (select r.evidence_id, r.subtype, r.family, r.text, rules.guard from routed r join rules using (family, subtype)),
-    sib as (select p.evidence_id, s.evidence_id as negative, row_number() over (partition by p.evidence_id order by {_sha('p.evidence_id', 's.evidence_id')}, s.evidence_id) as n
-    from pos p join routed s on s.family = p.family and s.subtype <> p.subtype where p.guard is not null and not regexp_matches(lower(s.text), p.guard))
+    f"""with {EVIDENCE}, {DOCS}, {_ROUTED}, 
+    pool as (select r.subtype, s.evidence_id as negative, row_number() over (partition by r.subtype order by {_sha('s.evidence_id')}, s.evidence_id) - 1 as r0, count(*) over (partition by r.subtype) as size
+    from rules r join routed s on s.family = r.family and s.subtype <> r.subtype where r.guard is not null and not regexp_matches(lower(s.text), r.guard)),
+    sib as (select p.evidence_id, negative, 1 + ((r0 - cast('0x' || substr({_sha('p.evidence_id')}, 1, 8) as bigint)) % size + size) % size as n from routed p join pool using (subtype))
     select evidence_id, negative from sib where n <= 4"""
 )
 def depth_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four sibling negatives a positive, drawn by seed."""
     routed = _routed(spark, sf_dir)
-    pos = routed.select("evidence_id", "family", "subtype").join(_rules(spark), ["family", "subtype"]).where("guard is not null")
-    s = routed.select(F.col("evidence_id").alias("negative"), "family", F.col("subtype").alias("other"), F.lower("text").alias("t"))
-    out = pos.join(s, "family").where((F.col("other") != F.col("subtype")) & ~F.regexp_like("t", F.col("guard")))
-    w = Window.partitionBy("evidence_id").orderBy(N.draw("evidence_id", "negative"), "negative")
-    return out.withColumn("n", F.row_number().over(w)).where("n <= 4").select("evidence_id", "negative")
+    pool = _unguarded(routed).select(F.col("target").alias("subtype"), F.col("evidence_id").alias("negative"))
+    line = N.drawn_rank(pool, ["subtype"], N.draw("negative"), "negative").select("subtype", "negative", "_r", F.col("_n").alias("size"))
+    sizes = line.groupBy("subtype").agg(F.max("size").alias("size"))
+    turn = F.conv(F.substring(N.draw("evidence_id"), 1, 8), 16, 10).cast("long")
+    places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(4), F.col("size")) - 1)
+    asked = routed.select("evidence_id", "subtype").join(sizes, "subtype").select("evidence_id", "subtype", F.explode(F.transform(places, lambda i: F.pmod(turn + i, F.col("size")) + 1)).alias("_r"))
+    return asked.join(line, ["subtype", "_r"]).select("evidence_id", "negative")
 
 
 @named(

@@ -19,7 +19,7 @@ _STOP = sql_list(W.STOPWORDS)
 def bm25_sql(words: str = tokens("text"), queries: str = "select query_id, text from queries", docs: str = "select doc_id, text from docs") -> str:
     """Common table expressions that end in sc(query_id, doc_id, score)."""
     return f"""dt as (select doc_id, tok, count(*) as tf from (select doc_id, unnest({words}) as tok from ({docs})) group by doc_id, tok),
-    dl as (select doc_id, sum(tf) as dl from dt group by doc_id), st as (select count(*) as n, avg(dl) as avgdl from dl),
+    dl as (select doc_id, len({words}) as dl from ({docs})), st as (select count(*) as n, avg(dl) as avgdl from dl),
     dfs as (select tok, count(*) as df from dt group by tok), idf0 as (select tok, ln(n - df + 0.5) - ln(df + 0.5) as idf from dfs cross join st),
     av as (select avg(idf) as a from idf0), idfs as (select tok, case when idf < 0 then 0.25 * a else idf end as idf from idf0 cross join av),
     qt as (select query_id, tok, count(*) as qtf from (select query_id, unnest({words}) as tok from ({queries})) group by query_id, tok),
