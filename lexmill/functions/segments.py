@@ -160,12 +160,14 @@ LINE = r"(?m)^(.*)$"
 def questions(text: Column) -> Column:
     """Questions in generated text: marked ones, else numbered ones, else lines that ask; those
     of more than ten characters."""
-    out = F.array().cast("array<string>")
-    for pattern, edge, asks in reversed([(MARKED, r"[\s*]", False), (NUMBERED, r"\s", True), (LINE, r"[\s*\-]", True)]):
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s, e=edge: F.regexp_replace(s, f"^{e}+|{e}+$", ""))
-        kept = F.filter(found, lambda s, a=asks: (F.length(s) > 10) & (F.endswith(s, F.lit("?")) | F.lit(not a)))
-        out = F.when(F.size(kept) > 0, kept).otherwise(out)
-    return out
+
+    def found(pattern: str, edge: str, asks: bool) -> Column:
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        bare = F.transform(every, lambda s: F.regexp_replace(s, f"^{edge}+|{edge}+$", ""))
+        return F.filter(bare, lambda s: (F.length(s) > 10) & (F.endswith(s, F.lit("?")) | F.lit(not asks)))
+
+    stages = [found(MARKED, r"[\s*]", False), found(NUMBERED, r"\s", True), found(LINE, r"[\s*\-]", True)]
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in stages], F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def breakpoints(likeness: Column, threshold: Column, least: int = 3) -> Column:

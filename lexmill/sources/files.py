@@ -168,6 +168,29 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_dataset(rows: DataFrame, path: str) -> None:
+    """A data set, one folder a split."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_dataset(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """One split of a data set, or all of them with their name in `split`."""
+    if split is not None:
+        return spark.read.parquet(f"{folder}/{split}")
+    rows = spark.read.parquet(f"{folder}/*")
+    return rows.withColumn("split", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1))
+
+
+def report(rows: DataFrame, most: int = 1000) -> str:
+    """A small table as text in columns; refused when it has more than `most` rows."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    cells = [rows.columns, *[["" if v is None else str(v) for v in r] for r in got]]
+    wide = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in cells)
+
+
 def write_index(chunks: DataFrame, path: str) -> None:
     """Chunks with their vectors, as Parquet; `read_index` is its scan."""
     chunks.write.mode("overwrite").parquet(path)
