@@ -128,7 +128,7 @@ _OPENED = "'CONTENTS' || chr(10) || 'ARTICLE 1' || chr(10) || 'Scope ........ 2'
     b as (select doc_id, text, regexp_extract(text, '(?is)^.*?(?:agree\s+as\s+follows)(.*)$', 1) as b1, regexp_matches(text, '(?i)agree\s+as\s+follows') as m1, regexp_extract(text, '(?is)^.*?(?:WITNESSETH)(.*)$', 1) as b2, regexp_matches(text, '(?i)WITNESSETH') as m2,
     regexp_extract(text, '(?is)^.*?(?:NOW,?\s+THEREFORE)(.*)$', 1) as b3, regexp_matches(text, '(?i)NOW,?\s+THEREFORE') as m3 from t),
     c as (select doc_id, text, m1 or m2 or m3 as m, case when m1 then b1 when m2 then b2 else b3 end as behind from b),
-    d as (select doc_id, text, m, case when m then length(text) - length(behind) + case when regexp_matches('|' || behind, '{_ARTICLE}') then length(({_marked(_ARTICLE, "'|' || behind")})[1]) - 1 else 0 end end as a from c),
+    d as (select doc_id, text, m, case when m then length(text) - length(behind) + case when regexp_matches(behind, '{_ARTICLE}') then length(({_marked(_ARTICLE, "behind")})[1]) else 0 end end as a from c),
     h as (select doc_id, min(pos) as pos from ({_cut('t', _ARTICLE)}) where regexp_extract(body, '{_ARTICLE}') <> '' and not regexp_matches(substr(text, pos + length(regexp_extract(body, '{_ARTICLE}')) + 1, 200), '\.{{5,}}') group by doc_id),
     e as (select d.doc_id, text, coalesce(a, pos, 0) as a from d left join h on h.doc_id = d.doc_id)
     select doc_id, cast(length(regexp_replace(substr(text, 1, a), '^\s+|\s+$', '', 'g')) as int) as front, cast(case when a > 0 then length(regexp_replace(substr(text, a + 1), '^\s+|\s+$', '', 'g')) else length(text) end as int) as body from e"""

@@ -141,10 +141,10 @@ def test_sections(spark):
 
 
 def test_front_and_body(spark):
-    rows = texts(spark, "Contents ARTICLE\nthe parties agree as follows:\nARTICLE 1\nScope\nText", "plain", "ARTICLE 1\nScope .......... 3\nARTICLE 1\nScope\nText", "x WITNESSETH that", "ARTICLE 2\nA\n" + "." * 9)
+    rows = texts(spark, "Contents ARTICLE\nthe parties agree as follows:\nARTICLE 1\nScope\nText", "plain", "ARTICLE 1\nScope\n1.1 Fees .......... 3\nARTICLE 1\nScope\nText", "x WITNESSETH that", "ARTICLE 2\nA\n" + "." * 9)
     got = {r["doc_id"]: (r["front"], r["body"]) for r in C.strip_contents(rows).collect()}
     assert got[0][1].startswith("ARTICLE 1\nScope") and got[1] == ("", "plain") and got[3] == ("x WITNESSETH", "that")
-    assert got[2] == ("ARTICLE 1\nScope .......... 3", "ARTICLE 1\nScope\nText") and got[4][0] == ""
+    assert got[2] == ("ARTICLE 1\nScope\n1.1 Fees .......... 3", "ARTICLE 1\nScope\nText") and got[4][0] == ""
 
 
 def test_definitions(spark):
