@@ -22,7 +22,8 @@ ROW = "tile int, id long, kind int, norm double, terms array<long>, weights arra
 FOUND = "query_id long, doc_id long, score double"
 BATCH = 256  # queries multiplied at once
 DENSE = 512  # words in the matrix at most
-CELLS = 1 << 24  # of the matrix, and of a batch's scores, at most: 64 MB each
+CELLS = 1 << 23  # of the matrix, and of a batch's scores, at most: 32 MB each
+STEP = 1 << 13  # documents whose words are counted at once
 COMMON = 0.008  # share of documents times share of queries from which on a word is in the matrix
 EPS = 2.0**-24
 
@@ -57,19 +58,26 @@ class Tile:
         self.owner, self.o_at = _lists(docs.column("owners"), np.int64)
         self.open, _ = _lists(docs.column("open"), np.int64)
         hashes, at = _lists(docs.column("terms"), np.int64)
-        if not self.words or not len(hashes):
-            self.f_doc = self.f_term = np.zeros(0, np.int64)
-            self.f_part = np.zeros(0)
-        else:
-            place = np.minimum(np.searchsorted(words, hashes), self.words - 1)
-            asked = words[place] == hashes
-            doc = np.repeat(np.arange(self.docs), np.diff(at))[asked]
-            pair, tf = np.unique(doc * self.words + place[asked], return_counts=True)
-            self.f_doc, self.f_term = np.divmod(pair, self.words)
-            norm = docs.column("norm").to_numpy().astype(np.float64, copy=False)
-            self.f_part = tf * (k1 + 1) / (tf + norm[self.f_doc])
-        self.f_at = np.searchsorted(self.f_doc, np.arange(self.docs + 1))
-        self.by_term = np.argsort(self.f_term, kind="stable")
+        norm = docs.column("norm").to_numpy().astype(np.float64, copy=False)
+        # Postings by document: f_term and f_part of document i from f_at[i] on.
+        counts, term, part = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for a in range(0, self.docs if self.words else 0, STEP):
+            b = min(a + STEP, self.docs)
+            some = hashes[at[a] : at[b]]
+            place = np.minimum(np.searchsorted(words, some), self.words - 1)
+            asked = words[place] == some
+            pair, tf = np.unique(np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))[asked] * self.words + place[asked], return_counts=True)
+            doc, t = np.divmod(pair, self.words)
+            counts.append(np.bincount(doc, minlength=b - a))
+            term.append(t.astype(np.int32))
+            part.append(tf * (k1 + 1) / (tf + norm[a:b][doc]))
+        counts, self.f_term, self.f_part = (np.concatenate(x) for x in (counts, term, part))
+        self.f_at = np.concatenate([[0], np.cumsum(counts)])
+        # And by word: t_doc and t_part of word t from t_at[t] on.
+        order = np.argsort(self.f_term, kind="stable")
+        self.t_doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+        self.t_part = self.f_part[order]
+        self.t_at = np.concatenate([[0], np.cumsum(np.bincount(self.f_term, minlength=self.words))])
 
     def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query ids, doc ids, scores): the k best of each query in this tile."""
@@ -83,9 +91,10 @@ class Tile:
         o_at = np.searchsorted(own_doc, np.append(docs, self.docs))
         local = np.full(self.docs, -1, np.int64)
         local[docs] = np.arange(len(docs))
-        p_doc, p_term, p_part = local[self.f_doc[self.by_term]], self.f_term[self.by_term], self.f_part[self.by_term]
-        p_doc, p_term, p_part = (x[p_doc >= 0] for x in (p_doc, p_term, p_part))
-        p_at = np.searchsorted(p_term, np.arange(self.words + 1)).tolist()
+        p_doc = local[self.t_doc]
+        there = p_doc >= 0
+        p_at = np.concatenate([[0], np.cumsum(there)])[self.t_at].tolist()
+        p_doc, p_part = p_doc[there], self.t_part[there]
         p_thin = p_part.astype(np.float32)
         mine = np.flatnonzero(self.q_kind == kind)
         if not len(p_doc):
@@ -177,10 +186,12 @@ def searcher(k: int, k1: float, digits: int):
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.Table.from_batches(rows)
-        for tile in pa.compute.unique(table.column("tile")).to_pylist():
-            one = table.filter(pa.compute.equal(table.column("tile"), tile))
-            for q, d, s in Tile(one, k, k1, digits).found():
+        tables = [pa.Table.from_batches(rows)]
+        if len(of := pa.compute.unique(tables[0].column("tile")).to_pylist()) > 1:
+            tables = [tables[0].filter(pa.compute.equal(tables[0].column("tile"), x)) for x in of]
+        rows.clear()
+        while tables:
+            for q, d, s in Tile(tables.pop(), k, k1, digits).found():
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
 
